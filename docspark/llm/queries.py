@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import near_dup, quality_gam, quality_rules, warc
+from docspark.llm import decontaminate, near_dup, quality_gam, quality_rules, warc
 from docspark.llm.common import crc_of_id, table
 
 
@@ -43,11 +43,19 @@ FROM m
 """
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.coalesce(F.array_max(F.transform("leaks", lambda x: x["score"])), F.lit(0.0))
+    items = F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",")
+    return got.select("doc_id", (F.size("leaks") > 0).alias("leaked"), items.alias("item_ids"), best.alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {

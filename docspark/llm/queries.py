@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, near_dup, quality_gam, quality_rules, warc
+from docspark.llm import decontaminate, near_dup, packing, quality_gam, quality_rules, warc
 from docspark.llm.common import crc_of_id, table
 
 
@@ -22,6 +22,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_packing": op5_packing,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, near_dup, packing, quality_gam, quality_rules, training_order, warc
+from docspark.llm import decontaminate, near_dup, packing, pii, quality_gam, quality_rules, training_order, warc
 from docspark.llm.common import crc_of_id, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    count = [pii.count_base(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS]
+    base = pii.spans_text(F.filter("spans", lambda s: s["base"]))
+    return found.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,

@@ -214,17 +214,21 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
         "s": F.count("*").over(by_rep),
         "rank": F.row_number().over(by_rep.orderBy("df", "value")),
     })
-    # prefix: n - ceil(0.75 n) + 1 shingles, of which n - s occur in no other set
-    prefix = ranked.where(f"rank <= s - cast(ceil({LEAST} * n / {OVER}D) as long) + 1").select("value", "rep", "n", "s")
+    # place in the whole order: the n - s shingles that occur in no other set come first; prefix: n - ceil(0.75 n) + 1 shingles
+    prefix = ranked.withColumn("place", F.col("rank") + F.col("n") - F.col("s"))
+    prefix = prefix.where(f"place <= n - cast(ceil({LEAST} * n / {OVER}D) as long) + 1").select("value", "rep", "n", "s", "place")
     prefix = written(_with_comp(prefix, "rep", comp, "comp"), "prefixes")
     sizes = prefix.groupBy("value", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     live = prefix.join(main.select("value", "main"), "value")
-    minor = live.where("comp <> main").select("value", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "s", "comp")))
+    minor = live.where("comp <> main").select("value", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "s", "comp", "place")))
+    needed = F.ceil(LEAST * (F.col("n") + F.col("n_")) / F.lit(float(OVER + LEAST)) - 1e-9)  # shared shingles of a linked pair
     close = (
         (F.col("comp") != F.col("comp_"))
         & (OVER * F.least("n", "n_") >= LEAST * F.greatest("n", "n_"))
-        & (F.least("s", "s_") * (OVER + LEAST) >= LEAST * (F.col("n") + F.col("n_")))
+        & (F.least("s", "s_") >= needed)
+        # the first shingle that a linked pair shares has at least this many shared ones from there on
+        & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) + 1 >= needed)
         & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("rep_")))
     )
     both = live.join(minor, ["value"]).where(close)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, near_dup, packing, pii, quality_gam, quality_rules, training_order, warc
+from docspark.llm import decontaminate, license_scan, near_dup, packing, pii, quality_gam, quality_rules, training_order, warc
 from docspark.llm.common import crc_of_id, table
 
 
@@ -23,6 +23,21 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan.scan(table(spark, sf_dir, "documents"))
+    place = F.transform("base", lambda b: b["place"])
+    return got.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(place).alias("first_word"),
+        F.array_max(place).alias("last_word"),
+        license_scan.labels(F.col("base")).alias("base_labels"),
+        license_scan.labels(F.col("base"), F.col("spans")).alias("labels"),
+        license_scan.score(F.col("base"), F.col("spans")).alias("score"),
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_gam.fit_quality(docs, labels)
@@ -69,6 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
     "op6_training_order": op6_training_order,

@@ -163,7 +163,7 @@ CTES |= {
         ELSE least(1.0::DOUBLE, len(list_filter(u.u, lambda x: x <> '' AND contains(r.text, x))) / least(len(list_filter(u.u, lambda x: x <> '')), 3)::DOUBLE) END::DOUBLE AS f
       FROM results r LEFT JOIN (SELECT doc_id, list(keyword) AS k FROM keywords GROUP BY doc_id) k USING (doc_id) LEFT JOIN urls u USING (doc_id)""",
     "scored": """SELECT doc_id, input_ord, model, status, round_even(s, 3) AS structure_score, round_even(c, 3) AS coverage_score, round_even(l, 3) AS length_score, round_even(f, 3) AS figure_score,
-      round_even((s * 0.35::DOUBLE + c * 0.40::DOUBLE + l * 0.15::DOUBLE + f * 0.10::DOUBLE) * 100, 1) AS overall_score FROM raw_scores""",
+      round_even(((s * 0.35::DOUBLE + c * 0.40::DOUBLE + l * 0.15::DOUBLE + f * 0.10::DOUBLE) * 100)::DECIMAL(30, 15), 1)::DOUBLE AS overall_score FROM raw_scores""",
     "ranked": "SELECT doc_id, model, overall_score, row_number() OVER (PARTITION BY doc_id ORDER BY overall_score DESC, input_ord) AS rank FROM scored WHERE status = 'OK'",
     "judge_json": f"SELECT doc_id, {_q(JUDGE_REPLY)} AS j FROM documents WHERE doc_id % 7 <> 0",
     "judged": """SELECT doc_id, i AS item_ord, trim(m) AS model, coalesce(f::DOUBLE, 0) AS factuality, coalesce(c::DOUBLE, 0) AS coverage, coalesce(cl::DOUBLE, 0) AS clarity, coalesce(u::DOUBLE, 0) AS usefulness,

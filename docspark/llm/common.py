@@ -44,16 +44,6 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``written`` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "-" in folder.rsplit("/", 1)[-1]:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is, so that the join shuffles."""
     n = df.count() if rows is None else rows
@@ -66,13 +56,15 @@ def arrow_map(
     """Apply ``f`` to the column ``text`` batch by batch: its arrays follow the kept columns.
 
     ``schema`` declares the columns that ``f`` returns; a generator is used, so a batch is freed before the next.
+    The text is sent once, also where it is among the kept columns.
     """
     from pyspark.sql.types import StructType
 
-    source = df.select(*keep, text)
+    source = df.select(*keep) if text in keep else df.select(*keep, text)
     made = StructType.fromDDL(schema)
     out = StructType([*(source.schema[c] for c in keep), *made])
     names = [x.name for x in made]
+    at = source.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -80,10 +72,12 @@ def arrow_map(
         want = to_arrow_schema(out)
         for b in batches:
             if b.num_rows:
-                made_by = f(b.column(b.schema.get_field_index(text)))
-                cols = [b.column(b.schema.get_field_index(c)) for c in keep]
+                made_by = f(b.column(at))
+                cols = [b.column(i) for i in range(len(keep))]
                 cols += [x if isinstance(x, pa.Array) else pa.array(x) for x in (made_by[n] for n in names)]
                 yield pa.RecordBatch.from_arrays([c.cast(want.field(i).type) for i, c in enumerate(cols)], schema=want)
+                del b, made_by, cols
+                pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, out)
 

@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docspark.llm.common import arrow_map, spread
-from docspark.llm.textcore import CONTINUATION, DIGIT, LETTER, Words, slices, windows, words
+from docspark.llm.textcore import CONTINUATION, DIGIT, LETTER, Slice, Words, slices, windows, words
 
 THRESHOLD, OVERLAP = 0.6, 0.6
 MIN_WORDS = 8
@@ -193,9 +192,16 @@ def passages(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return doc, start, np.minimum(start + 2 * length, w.first[doc + 1])
 
 
+def _lowered(texts: pa.Array, rows: int = 256) -> Iterator[Slice]:
+    """Slices of the lower-cased texts, numbered within the whole array; a few rows are copied at a time."""
+    for a in range(0, len(texts), rows):
+        for s in slices(pc.utf8_lower(texts.slice(a, rows))):
+            yield Slice(s.first + a, s.n, s.data, s.offsets)
+
+
 def _matches(index: Index, texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float]]:
     """(document, item number, score, overlap) of every leak."""
-    for s in slices(pc.utf8_lower(texts)):
+    for s in _lowered(texts):
         w = words(s, lower=False, separators=SEPARATORS)
         term = index.terms(w.hash)
         doc, start, end = passages(w, index.length)
@@ -244,4 +250,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None,
                     found[doc][i] = {"item_id": i, "score": score, "overlap": share}
         return {"leaks": pa.array([[f[i] for i in sorted(f)] for f in found], arrow)}
 
-    return arrow_map(spread(docs).select(*keep, F.col("text").alias("__text")), "__text", keep, kind, run)
+    return arrow_map(spread(docs), "text", keep, kind, run)

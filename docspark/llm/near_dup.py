@@ -145,14 +145,14 @@ def _packed(texts: pa.Array) -> dict[str, object]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+        a, b, x, y = (batch.column(i) for i in range(4))
         keep = []
-        for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = unpack_set(p), unpack_set(q)
+        for i in range(batch.num_rows):
+            p, q = unpack_set(x[i].as_py()), unpack_set(y[i].as_py())
             both = len(np.intersect1d(p, q, assume_unique=True))
             if OVER * both >= LEAST * (len(p) + len(q) - both):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -152,6 +152,5 @@ def score(docs: DataFrame, model: Gam, keep: list[str] | None = None, threshold:
     def run(texts: pa.Array) -> dict[str, object]:
         return {"score": model.score(features(textcore.statistics(texts)))}
 
-    again = F.col("text").alias("__text")
-    scored = arrow_map(spread(docs).select(*keep, again), "__text", keep, "score double", run)
+    scored = arrow_map(spread(docs), "text", keep, "score double", run)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 
 _rng = np.random.default_rng(20240501)
@@ -84,8 +84,9 @@ class Slice:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Whole documents in order, about ``most`` bytes at a time."""
+def slices(texts: pa.Array | pa.ChunkedArray, most: int | None = None) -> Iterator[Slice]:
+    """Whole documents in order, about ``most`` bytes at a time (``SLICE_BYTES`` if not given)."""
+    most = SLICE_BYTES if most is None else most
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if len(texts) == 0:

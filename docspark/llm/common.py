@@ -88,10 +88,11 @@ def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
     return arrow_map(df, "text", keep, schema, textcore.statistics)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal the rows of a table in few files over more tasks; a table in many files stays as it is."""
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """Deal the rows of a small table in few files over all cores; others are read as they lie, without a shuffle."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(least) if size < most_bytes and len(df.inputFiles()) < least else df
 
 
 def crc_of_id(doc_id: Column) -> Column:

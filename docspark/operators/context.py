@@ -122,6 +122,23 @@ def prompts(docs: DataFrame, contexts: DataFrame, figures: DataFrame) -> DataFra
     return df.select("doc_id", F.concat(whole, F.lit("\n")).alias("prompt"))
 
 
+SUMMARY_ORDERS = (
+    "Summarize the paper in markdown under the headers ## One-Liner, ## Problem & Method, ## Experiments & Results and ## Limitations. "
+    "One sentence under the first; bullets ('- ') under the others, each ending in the ids of the chunks it rests on, written [chunk_id: XXXXXXXXXXXX]. "
+    "Claim nothing that no chunk supports."
+)
+SKETCH_ORDERS = (
+    'Answer with JSON only: {"section_summaries": [{"section_id": "s1", "one_liner": "..."}], '
+    '"figure_summaries": [{"label": "Figure 1", "caption_summary": "..."}], "key_terms": [{"term": "..."}]}. '
+    "One entry for each section, figure and table below, and up to ten terms as they are spelled in the text; empty strings for what is unknown."
+)
+
+
+def ordered_prompts(contexts: DataFrame, orders: str) -> DataFrame:
+    """doc_id and prompt: orders, then the context."""
+    return contexts.select("doc_id", F.concat(F.lit(orders + "\n\nPaper:\n"), "context", F.lit("\n")).alias("prompt"))
+
+
 JUDGE_ORDERS = (
     "Grade every summary from 1 to 5 for factuality, coverage, clarity and usefulness, and overall, against the source. "
     'Answer with JSON only: {"scores": [{"model": "...", "factuality": 1, "coverage": 1, "clarity": 1, "usefulness": 1, "overall": 1, "reason": "..."}]}'

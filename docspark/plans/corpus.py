@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.operators import blocks as B
-from docspark.operators import chunking, context, evaluation, figures, sections
+from docspark.operators import chunking, context, evaluation, figures, models, sections
 from docspark.operators.reading_order import reading_order
 
+Factories = dict[str, Callable[[], models.Client]] | None
 NO_RECTS = "doc_id long, page int, rect_ord int, x0 double, y0 double, x1 double, y1 double"
 
 
@@ -91,6 +93,26 @@ class Corpus:
     def judge_context(self, budget: int = 8_000) -> DataFrame:
         return context.judge_context(self.documents, self.titles, self.sections, self.chunks, budget)
 
+    def prompts(self, docs: DataFrame, budget: int = 24_000) -> DataFrame:
+        """doc_id and the shared prompt, for docs with doc_id, url and lang."""
+        return context.prompts(docs, self.markdown_context(budget), context.figure_markdown(self.regions))
+
+    def compare(self, docs: DataFrame, names: list[str], factories: Factories = None, budget: int = 24_000) -> DataFrame:
+        """Results of every model on every document's shared prompt; write them before they are used twice."""
+        return models.compare(self.prompts(docs, budget), names, factories)
+
+    def cited_summaries(self, names: list[str], factories: Factories = None, budget: int = 60_000) -> DataFrame:
+        """Models' cited summaries (doc_id, model, status, text): the input of ``parsing.summary_bullets`` and ``one_liners``."""
+        return models.compare(context.ordered_prompts(self.cited_context(budget), context.SUMMARY_ORDERS), names, factories)
+
+    def sketches(self, names: list[str], factories: Factories = None, budget: int = 20_000) -> DataFrame:
+        """Models' sketches: the input of ``parsing.sketch_sections``, ``sketch_regions`` and ``sketch_terms``."""
+        return models.compare(context.ordered_prompts(self.sketch_context(budget), context.SKETCH_ORDERS), names, factories)
+
+    def judge(self, results: DataFrame, name: str, factories: Factories = None) -> DataFrame:
+        """A judge's replies (doc_id, model, status, text) on results: the input of ``parsing.judgements``."""
+        return models.compare(context.judge_prompts(self.judge_context(), results), [name], factories)
+
     @cached_property
     def keywords(self) -> DataFrame:
         return evaluation.top_keywords(self.chunks)

@@ -178,3 +178,20 @@ def test_properties_of_a_corpus(spark):
     assert c.markdown_context(300).where(F.char_length("context") > 2000).count() == 0
     assert c.evaluate(synthetic.results(documents(spark, "/root/testdata/sf0.001").where("doc_id < 40"))).where("overall_score not between 0 and 100").count() == 0
     assert pytest.approx(1.0) == c.shared_metrics().where("pages_extracted >= 0").count() / c.documents.count()
+
+
+def test_model_calls_of_a_corpus(spark):
+    from docspark.sources import synthetic
+    from docspark.sources.tables import documents
+
+    docs = documents(spark, "/root/testdata/sf0.001").where("doc_id < 5")
+    b = synthetic.blocks(docs)
+    c = Corpus(b, synthetic.rasters(b), synthetic.drawings(b), 64, 16)
+    ask = docs.select("doc_id", F.lit("http://x").alias("url"), F.lit("en").alias("lang"))
+    made = c.compare(ask, ["openai:a", "gemini:b"], models.OFFLINE, 500).collect()
+    assert len(made) == 10 and all(r.status == "OK" for r in made)
+    assert c.cited_summaries(["openai:a"], models.OFFLINE, 500).where("status = 'OK'").count() == 5
+    assert c.sketches(["openai:a"], models.OFFLINE, 500).where("status = 'OK'").count() == 5
+    judged = c.judge(synthetic.results(docs), "openai:judge", models.OFFLINE)
+    assert judged.count() == 5
+    assert parsing.judge_errors(judged).count() == 5  # the stand-in writes no JSON

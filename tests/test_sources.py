@@ -28,6 +28,39 @@ def test_papers_and_extractor(spark, tmp_path):
     assert papers.raster_rects(raw).count() == 1
 
 
+def test_fetching_is_checked():
+    import io
+
+    import pytest
+
+    from docspark.sources import fetch
+
+    public, inside = (lambda *_: [(0, 0, 0, "", ("8.8.8.8", 0))]), (lambda *_: [(0, 0, 0, "", ("10.0.0.1", 0))])
+    opener = lambda data: lambda url, timeout: io.BytesIO(data)
+    got = fetch.fetch_pdf("https://h/a.pdf", opener=opener(b"%PDF-1"), resolve=public)
+    assert (got["size_bytes"], got["final_url"], got["content"]) == (6, "https://h/a.pdf", b"%PDF-1")
+    for url, data, resolve, most in (("ftp://h/a", b"%PDF", public, 9), ("http://h/a", b"%PDF", inside, 9), ("http://h/a", b"<html>", public, 9), ("http://h/a", b"%PDF12345678", public, 9), ("http://h/a", b"", public, 9)):
+        with pytest.raises(ValueError):
+            fetch.fetch_pdf(url, most, opener=opener(data), resolve=resolve)
+
+
+def test_fetch_errors_are_rows(spark):
+    from docspark.sources.fetch import fetch
+
+    got = fetch(spark.createDataFrame([("ftp://x",), ("http://127.0.0.1/a",), (None,)], "url string")).collect()
+    assert len(got) == 3 and all(r.error and r.content is None for r in got)
+
+
+def test_settings(monkeypatch):
+    from docspark.settings import Settings
+
+    assert Settings.from_env("NONE_").max_tokens == 512
+    for k, v in {"MODELS": " a, ,b", "MAX_PAGES": "99", "BASE_URL": "http://x/"}.items():
+        monkeypatch.setenv(f"T_{k}", v)
+    s = Settings.from_env("T_")
+    assert (s.models, s.default_model, s.max_pages, s.base_url) == (("a", "b"), "a", 60, "http://x")
+
+
 def test_html(spark):
     html = "<title>T &amp;</title><script>var p='<p>';</script><nav><ul><li>one</ul></nav><!-- <p>no --><P class=x>first<p>second <b>bold</b></p><pre>x</pre><footer> f </footer><h2></h2>"
     df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")

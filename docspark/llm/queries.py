@@ -41,7 +41,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_gam.fit_quality(docs, labels)
-    held = (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out")
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out")
     return quality_gam.score(docs, model).select("doc_id", held, "score", "predicted")
 
 

@@ -50,6 +50,17 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+#: Rows of an Arrow batch: a batch of texts is held on both sides, for every task of an executor.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Ask for smaller Arrow batches, unless the session names a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def arrow_map(
     df: DataFrame, text: str, keep: list[str], schema: str, f: Callable[[pa.Array], dict[str, object]]
 ) -> DataFrame:
@@ -60,6 +71,7 @@ def arrow_map(
     """
     from pyspark.sql.types import StructType
 
+    bounded_batches(df.sparkSession)
     source = df.select(*keep) if text in keep else df.select(*keep, text)
     made = StructType.fromDDL(schema)
     out = StructType([*(source.schema[c] for c in keep), *made])

@@ -32,6 +32,8 @@ SIZE = 1024
 #: Sequences in a shard: 32 MB of 16-bit ids.
 PER_SHARD = 16_384
 ROUNDS = 6
+#: Of zstd, for what is written and sent on the way: sequences take most of the disk.
+LEVEL = 9
 
 
 class Feistel:
@@ -103,7 +105,7 @@ def sequences(docs: DataFrame, size: int, vocabulary: Vocabulary) -> DataFrame:
             yield cut(held, owners)
 
     schema = "part long, number long, n_tokens long, doc_ids array<long>, ids binary"
-    return written(spread(docs.select("doc_id", "text")).mapInArrow(run, schema), "sequences")
+    return written(spread(docs.select("doc_id", "text")).mapInArrow(run, schema), "sequences", LEVEL)
 
 
 def materialise(docs: DataFrame, path: str, key: int = 1, size: int = SIZE, per_shard: int = PER_SHARD, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -127,7 +129,7 @@ def materialise(docs: DataFrame, path: str, key: int = 1, size: int = SIZE, per_
         """Sequences of a batch by shard, a compressed block each."""
         import zstandard
 
-        z = zstandard.ZstdCompressor(3)
+        z = zstandard.ZstdCompressor(LEVEL)
         for b in batches:
             seq = b.column(1).to_numpy() + np.array([bases[p] for p in b.column(0).to_pylist()], np.int64)
             slot = order.slot(seq)

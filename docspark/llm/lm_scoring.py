@@ -5,8 +5,9 @@ Counts: every training token is counted (words are kept as 64-bit hashes), first
 Base score: words that make up at least 1 / ``FREQUENT`` of all training tokens are at most ``FREQUENT`` many, so their counts are broadcast and
 summed while the texts are read; the other words go to their counts by a join.
 
-Model: the most frequent words are tokens of their own, all others become a token of their length (in bytes), under which the word's bytes
-have a byte-unigram probability, so that every text has a probability.  Training runs where the data lie: in each round every task trains a
+Model: the most frequent words are tokens of their own, all others become a token of their length (in bytes).  Under such a token a word
+has the probability (c + T * spelling) / (N + T) with its count c, and the N tokens and T - 1 words counted there; spelling is
+a byte-unigram probability, so that every text has a probability.  Training runs where the data lie: in each round every task trains a
 copy of the model on its share of the training documents (1 / ``SHARE`` of all, by hash, another share each round), and the copies are
 averaged, weighted by tokens.  Scores carry the recurrent state through the whole document.
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm import gru
-from docspark.llm.common import crc_of_id, spread, written
+from docspark.llm.common import bounded_batches, crc_of_id, spread, written
 from docspark.llm.textcore import LOWER, slices, words
 
 FREQUENT = 500_000
@@ -36,6 +37,8 @@ LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18, 24])
 KNOWN = gru.TOKENS - len(LENGTHS) - 1
 TAIL = 0.9
 END_HASH = -(2**62) - 12345
+#: Tokens whose documents run through the model side by side.
+TOGETHER = 4_000_000
 ADD = 0.1
 
 
@@ -96,7 +99,7 @@ class Lexicon:
     total: int
     distinct: int
     words: np.ndarray  # frequent words' hashes, ascending
-    values: np.ndarray  # log10(count + ADD) of each
+    often: np.ndarray  # counts of each
     known: np.ndarray  # hashes of the model's own words, ascending
     ids: np.ndarray  # their token ids
     start: np.ndarray  # counts of the tokens
@@ -104,6 +107,8 @@ class Lexicon:
     within: np.ndarray  # natural log of P(length | its token), by length up to the last bound
     spelled: np.ndarray  # token ids of rare words, by place in LENGTHS
     ends: int  # count of the end token
+    log_types: np.ndarray  # natural log of T, by place in LENGTHS
+    log_mass: np.ndarray  # natural log of N + T, by place in LENGTHS
 
     @property
     def end(self) -> int:
@@ -125,10 +130,11 @@ class Lexicon:
         top = sorted([(int(n[i]), int(w[i])) for i in best] + [(ends, END_HASH)], reverse=True)
         last = int(LENGTHS[-1])
         rare = c.where(F.col("length") > 0).join(F.broadcast(_frame(c, [x for _, x in top])), "word", "left_anti")
-        found = {r.l: r.n for r in rare.groupBy(F.least("length", F.lit(last)).alias("l")).agg(F.sum("n").alias("n")).collect()}
-        by_length = np.array([0] + [found.get(i, 0) for i in range(1, last + 1)], float)
+        found = {r.l: (r.n, r.t) for r in rare.groupBy(F.least("length", F.lit(last)).alias("l")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()}
+        by_length, types = np.array([(0, 0)] + [found.get(i, (0, 0)) for i in range(1, last + 1)], float).T
         bucket = np.searchsorted(LENGTHS, np.arange(last + 1), side="right") - 1
         rare_counts = np.bincount(bucket[1:], by_length[1:], len(LENGTHS))
+        rare_types = np.bincount(bucket[1:], types[1:], len(LENGTHS)) + 1
         smooth = by_length[1:] + 1
         within = np.concatenate(([0.0], np.log(smooth / np.bincount(bucket[1:], smooth, len(LENGTHS))[bucket[1:]])))
         # tokens by falling count, so that a class holds words of like frequency
@@ -143,45 +149,62 @@ class Lexicon:
         got = {r.word: r.n for r in counts.where("octet").collect()}
         octets = np.array([got.get(i, 0) + 1 for i in range(256)], float)
         known, ids = np.array([h for h, _ in mine]), np.array([i for _, i in mine])
-        return Lexicon(total, distinct, w, np.log10(n + ADD), known, ids, start, np.log(octets / octets.sum()), within, spelled, ends)
+        mass = np.log(rare_counts + rare_types)
+        return Lexicon(total, distinct, w, n.astype(float), known, ids, start, np.log(octets / octets.sum()), within, spelled, ends, np.log(rare_types), mass)
 
-    def tokens(self, h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token id of each word and whether it is one of the model's own."""
+    def tokens(self, h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token id of each word, whether it is one of the model's own, and the place of its length in LENGTHS."""
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         own = self.known[at] == h
         bucket = np.searchsorted(LENGTHS, np.minimum(length, LENGTHS[-1]), side="right") - 1
-        return np.where(own, self.ids[at], self.spelled[bucket]), own
+        return np.where(own, self.ids[at], self.spelled[bucket]), own, bucket
 
     def spelling(self, octets: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Natural log of P(word | its length's token), given the sum over its bytes."""
+        """Natural log of the spelling probability under the length's token, given the sum over the word's bytes."""
         last = int(LENGTHS[-1])
         far = np.where(length >= last, math.log(1 - TAIL) + (length - last) * math.log(TAIL), 0.0)
         return octets + self.within[np.minimum(length, last)] + far
 
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of frequent words; 0 for others."""
+        if not len(self.words):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.often[at], 0.0)
+
 
 def _frame(like: DataFrame, hashes: list[int]) -> DataFrame:
     return like.sparkSession.createDataFrame([(h,) for h in hashes], "word long")
 
 
-def read_tokens(texts: pa.Array, lex: Lexicon) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By slice: its words, word hashes, token ids with an end after each document, offsets of documents into them, log spelling by document."""
+@dataclass
+class Reading:
+    """Tokens of a slice of documents; arrays on distinct words (u) and, through ``word``, on each of them."""
+
+    doc: np.ndarray  # document of each word
+    word: np.ndarray  # place in u of each word
+    u: np.ndarray  # distinct word hashes
+    own: np.ndarray  # whether u is one of the model's own words
+    spelling: np.ndarray  # natural log of T * spelling
+    mass: np.ndarray  # natural log of N + T
+    ids: np.ndarray  # token ids, an end after each document
+    first: np.ndarray  # offsets of documents into ids
+
+
+def read_tokens(texts: pa.Array, lex: Lexicon) -> Iterator[Reading]:
     for s in slices(texts):
         w = words(s)
-        h = w.hash.view(np.int64)
-        u, inv = np.unique(h, return_inverse=True)
-        length = w.end - w.start
-        some = np.zeros(len(u), np.int64)
-        some[inv] = length
-        token, own = lex.tokens(u, some)
+        u, at, inv = np.unique(w.hash.view(np.int64), return_index=True, return_inverse=True)
+        length = (w.end - w.start)[at]
+        token, own, bucket = lex.tokens(u, length)
         total = np.concatenate(([0.0], np.cumsum(lex.octets[LOWER[s.data]])))
-        log_spelling = np.where(own[inv], 0.0, lex.spelling(total[w.end] - total[w.start], length))
+        spelling = lex.spelling((total[w.end] - total[w.start])[at], length) + lex.log_types[bucket]
         doc = w.doc()
-        ids = np.empty(len(h) + s.n, np.int16)
-        at = np.arange(len(h)) + doc
-        ids[at] = token[inv]
+        ids = np.empty(len(inv) + s.n, np.int16)
+        ids[np.arange(len(inv)) + doc] = token[inv]
         first = w.first + np.arange(s.n + 1)
         ids[first[1:] - 1] = lex.end
-        yield (w, u, inv), doc, ids, first, np.bincount(doc, log_spelling, s.n)
+        yield Reading(doc, inv, u, own, spelling, lex.log_mass[bucket], ids, first)
 
 
 def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUNDS) -> np.ndarray:
@@ -195,7 +218,7 @@ def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUND
 
         def run(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:
             lex = known.value
-            ids = [x[2] for b in batches for x in read_tokens(b.column(0), lex)]
+            ids = [x.ids for b in batches for x in read_tokens(b.column(0), lex)]
             ids = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
             if len(ids):
                 m = gru.Gru(now.value.copy())
@@ -211,52 +234,70 @@ def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUND
     return flat
 
 
+def _read(r: Reading, lex: Lexicon) -> dict[str, np.ndarray]:
+    """What a slice's documents need of the counts at hand, and their rare words, whose counts come with a join."""
+    n, k = len(r.first) - 1, max(len(r.u), 1)
+    c = lex.counts(r.u)
+    hit = (c > 0)[r.word]
+    model = np.where(r.own, 0.0, np.log(np.where(c > 0, c + np.exp(np.minimum(r.spelling, 50.0)), 1.0)) - r.mass)
+    pair, times = np.unique(r.doc[~hit] * k + r.word[~hit], return_counts=True)
+    return {
+        "ids": r.ids,
+        "n_tokens": np.diff(r.first),
+        "n_often": np.bincount(r.doc[hit], minlength=n),
+        "often": np.bincount(r.doc, np.where(c > 0, np.log10(c + ADD), 0.0)[r.word], n),
+        "model": np.bincount(r.doc, model[r.word], n),
+        "rare": r.u[pair % k],
+        "rare_n": times.astype(np.int32),
+        "rare_x": r.spelling[pair % k].astype(np.float32),
+        "n_rare": np.bincount(pair // k, minlength=n),
+    }
+
+
+def _scored(held: list[tuple[pa.Array, list]], m: gru.Gru, end: int) -> pa.RecordBatch:
+    """The rows of some batches: their documents run through the model side by side."""
+    x = {k: np.concatenate([r[k] for _, rs in held for r in rs]) for k in held[0][1][0]}
+    logp = m.score(x["ids"], np.concatenate(([0], np.cumsum(x["n_tokens"]))), end) + x["model"]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(x["n_rare"]))).astype(np.int32))
+    cols = {"doc_id": pa.concat_arrays([d for d, _ in held]), "n_tokens": pa.array(x["n_tokens"], pa.int64()), "n_often": pa.array(x["n_often"], pa.int64())}
+    cols |= {"often": pa.array(x["often"].astype(float)), "score": pa.array(logp / math.log(10))}
+    cols |= {k: pa.ListArray.from_arrays(offsets, pa.array(x[k])) for k in ("rare", "rare_n", "rare_x")}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+    bounded_batches(docs.sparkSession)
     docs = spread(docs.select("doc_id", "text"))
     learn = docs.where(~held_out(F.col("doc_id")))
     counts = count_words(learn)
     lex = Lexicon.of(counts)
     known = docs.sparkSession.sparkContext.broadcast(lex)
     model = docs.sparkSession.sparkContext.broadcast(train(learn, lex))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = ["doc_id", "n_tokens", "n_often", "often", "score", "rare", "rare_n"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, m = known.value, gru.Gru(model.value)
+        held: list[tuple[pa.Array, list]] = []
+        size = 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, sizes, n_often, often, spelled, rare, rare_n, rare_ends = [], [], [], [], [], [], [], []
-            for (_, u, inv), doc, i, first, log_spelling in read_tokens(b.column(1), lex):
-                n = len(first) - 1
-                at = np.minimum(np.searchsorted(lex.words, u), max(len(lex.words) - 1, 0))
-                hit = lex.words[at] == u if len(lex.words) else np.zeros(len(u), bool)
-                value = np.where(hit, lex.values[at], 0.0) if len(lex.words) else np.zeros(len(u))
-                hits = hit[inv]
-                n_often.append(np.bincount(doc[hits], minlength=n))
-                often.append(np.bincount(doc, value[inv], n))
-                pair, times = np.unique(doc[~hits] * len(u) + inv[~hits], return_counts=True) if len(u) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                rare.append(u[pair % max(len(u), 1)])
-                rare_n.append(times)
-                rare_ends.append(np.bincount(pair // max(len(u), 1), minlength=n))
-                ids.append(i)
-                sizes.append(np.diff(first))
-                spelled.append(log_spelling)
-            sizes = np.concatenate(sizes)
-            first = np.concatenate(([0], np.cumsum(sizes)))
-            logp = m.score(np.concatenate(ids), first, lex.end) + np.concatenate(spelled)
-            ends = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(rare_ends)))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) for x, t in ((rare, np.int64), (rare_n, np.int32))]
-            cols = [b.column(0), sizes, np.concatenate(n_often), np.concatenate(often), logp / math.log(10), *lists]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    schema = "doc_id long, n_tokens long, n_often long, often double, score double, rare array<long>, rare_n array<int>"
+            if b.num_rows:
+                held.append((b.column(0), [_read(r, lex) for r in read_tokens(b.column(1), lex)]))
+                size += sum(len(x["ids"]) for x in held[-1][1])
+            if size > TOGETHER:
+                yield _scored(held, m, lex.end)
+                held, size = [], 0
+        if held:
+            yield _scored(held, m, lex.end)
+
+    schema = "doc_id long, n_tokens long, n_often long, often double, score double, rare array<long>, rare_n array<int>, rare_x array<float>"
     first = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
-    pairs = first.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.rare_n").alias("times"))
+    pairs = first.select("row", F.explode(F.arrays_zip("rare", "rare_n", "rare_x")).alias("p"))
+    pairs = pairs.select("row", F.col("p.rare").alias("word"), F.col("p.rare_n").alias("times"), F.col("p.rare_x").cast("double").alias("x"))
     seldom = counts.where(~F.col("octet") & (F.col("n") * FREQUENT < lex.total)).select("word", "n")
-    value = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))
-    sums = pairs.join(seldom, "word", "left").groupBy("row").agg(F.sum(value).alias("seldom"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_seldom"))
+    n = F.coalesce("n", F.lit(0))
+    base_value = F.col("times") * F.log10(n + F.lit(ADD))
+    model_value = F.col("times") * F.when(n > 0, F.log(n + F.exp("x"))).otherwise(F.col("x")) / F.lit(math.log(10))
+    seen = F.when(n > 0, F.col("times")).otherwise(0)
+    sums = pairs.join(seldom, "word", "left").groupBy("row").agg(F.sum(base_value).alias("seldom"), F.sum(model_value).alias("m"), F.sum(seen).alias("n_seldom"))
     floor = math.log10(lex.total + ADD * (lex.distinct + 1))
     base = F.col("often") + F.coalesce("seldom", F.lit(0.0)) + F.lit(math.log10(lex.ends + ADD)) - F.col("n_tokens") * F.lit(floor)
     return first.join(sums, "row", "left").select(
@@ -266,5 +307,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_often") + F.coalesce("n_seldom", F.lit(0)) + F.lit(int(lex.ends > 0))).cast("long").alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("m", F.lit(0.0))).alias("score"),
     )

@@ -59,7 +59,7 @@ def pieces(blocks: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOK
     whole = F.col("is_caption") | (tok <= most)
     short = blocks.where(whole).withColumns({"sub_idx": F.lit(0), "piece": F.col("text")})
     long = blocks.where(~whole).withColumn("__p", split_by_tokens(F.col("text"), most, overlap))
-    long = long.select(*blocks.columns, F.posexplode("__p").alias("sub_idx", "piece"))
+    long = long.select(*blocks.columns, F.posexplode_outer("__p").alias("sub_idx", "piece")).where("sub_idx is not null")
     both = short.unionByName(long).drop("text").withColumnRenamed("piece", "text")
     return both.withColumn("tok", approx_tokens(F.col("text")))
 
@@ -98,7 +98,7 @@ def chunks(piece_rows: DataFrame, paths: DataFrame | None = None, most: int = MA
     docs = piece_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
     fold = F.transform("p", lambda x: F.struct(x["tok"].alias("tok"), x["section_id"].alias("section_id"), x["is_caption"].alias("is_caption")))
     docs = docs.withColumn("k", chunk_numbers(fold, most))
-    each = docs.select("doc_id", F.explode(F.arrays_zip("k", "p")).alias("z")).select("doc_id", F.col("z.k").alias("chunk_ord"), "z.p.*")
+    each = docs.select("doc_id", F.explode_outer(F.arrays_zip("k", "p")).alias("z")).where("z is not null").select("doc_id", F.col("z.k").alias("chunk_ord"), "z.p.*")
     order = F.struct("pos", "sub_idx")
     listed = F.array_sort(F.collect_list(F.struct("pos", "sub_idx", "block_id", "text")))
     firsts = {c: F.min_by(c, order).alias(c) for c in ("section_id", "page", "bbox", "block_id", "sub_idx", "is_caption")}

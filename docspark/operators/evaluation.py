@@ -13,7 +13,7 @@ from docspark.operators.context import HEADERS
 def top_keywords(chunk_rows: DataFrame, most: int = 20) -> DataFrame:
     """doc_id, rank, keyword, n: the most frequent words of body chunks; ties in order of first occurrence."""
     body = chunk_rows.where("chunk_type <> 'caption'")
-    each = body.select("doc_id", "chunk_ord", F.posexplode(normalized_words(F.col("text"))).alias("at", "keyword"))
+    each = body.select("doc_id", "chunk_ord", F.posexplode_outer(normalized_words(F.col("text"))).alias("at", "keyword")).where("at is not null")
     counts = each.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("chunk_ord", "at")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "rank", "keyword", "n")

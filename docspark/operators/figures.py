@@ -46,7 +46,7 @@ def merged_rects(rects: DataFrame, margin: float = MERGE_MARGIN, min_area: float
 
     solid = rects.where("x1 > x0 and y1 > y0")
     pages = solid.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("rect_ord", "x0", "y0", "x1", "y1"))).alias("r"))
-    each = pages.select("doc_id", "page", F.posexplode(merge("r")).alias("rect_ord", "b"))
+    each = pages.select("doc_id", "page", F.posexplode_outer(merge("r")).alias("rect_ord", "b")).where("rect_ord is not null")
     return each.select("doc_id", "page", "rect_ord", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
@@ -107,7 +107,7 @@ def match_captions(regions: DataFrame, captions: DataFrame, margin: float = CAPT
         found = F.struct(region["region_ord"].cast("int").alias("region_ord"), best["o"].alias("caption_ord"))
         return F.when(best.isNotNull(), F.array_append(acc, found)).otherwise(acc)
 
-    matched = both.select("doc_id", "page", F.explode(F.aggregate("regions", start, step)).alias("m"))
+    matched = both.select("doc_id", "page", F.explode_outer(F.aggregate("regions", start, step)).alias("m")).where("m is not null")
     return matched.select("doc_id", "page", "m.region_ord", "m.caption_ord")
 
 

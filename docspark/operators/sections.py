@@ -69,7 +69,7 @@ def sections(ordered: DataFrame) -> DataFrame:
     with_level = F.transform("heads", lambda h, i: h.withField("level", F.get("levels", i)))
     docs = docs.select("doc_id", with_level.alias("heads"))
     docs = docs.withColumn("paths", section_paths(F.col("heads")))
-    each = docs.select("doc_id", F.posexplode(F.arrays_zip("heads", "paths")).alias("section_ord", "s"))
+    each = docs.select("doc_id", F.posexplode_outer(F.arrays_zip("heads", "paths")).alias("section_ord", "s")).where("section_ord is not null")
     return each.select(
         "doc_id",
         "section_ord",

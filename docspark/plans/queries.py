@@ -15,7 +15,7 @@ from docspark.plans.corpus import Corpus
 from docspark.sources import synthetic
 from docspark.sources.cache import ResultStore
 from docspark.sources.html import html_blocks
-from docspark.sources.tables import documents, lines, table
+from docspark.sources.tables import by_document, documents, lines, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,13 +34,13 @@ def query(f: Query) -> Query:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    b = synthetic.blocks(documents(spark, sf_dir))
+    b = synthetic.blocks(by_document(spark, sf_dir))
     return Corpus(b, synthetic.rasters(b), synthetic.drawings(b), MAX_TOKENS, OVERLAP, "http://host")
 
 
 def line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as blocks, five lines to a section, in pieces of up to 64 tokens."""
-    b = lines(documents(spark, sf_dir)).select(
+    b = lines(by_document(spark, sf_dir)).select(
         "doc_id",
         F.col("i").alias("pos"),
         text.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string"))).alias("block_id"),
@@ -78,7 +78,7 @@ def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("ord", "sentence"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode_outer(text.sentences(F.col("text"))).alias("ord", "sentence")).where("ord is not null")
 
 
 @query
@@ -95,7 +95,7 @@ def label_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chunking.split_by_tokens(F.col("text"), 48, 16)
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("part", "text"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode_outer(parts).alias("part", "text")).where("part is not null")
 
 
 @query
@@ -116,13 +116,13 @@ def span_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_median_font(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = synthetic.blocks(documents(spark, sf_dir)).withColumn("median_size", B.median_size(F.col("size")))
+    b = synthetic.blocks(by_document(spark, sf_dir)).withColumn("median_size", B.median_size(F.col("size")))
     return b.groupBy("doc_id", "page").agg(F.max("median_size").alias("median_size"), F.count("*").alias("n"))
 
 
 @query
 def block_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.classify(synthetic.blocks(documents(spark, sf_dir))).select("doc_id", "block_ord", "page", "median_size", "block_type")
+    return B.classify(synthetic.blocks(by_document(spark, sf_dir))).select("doc_id", "block_ord", "page", "median_size", "block_type")
 
 
 @query
@@ -138,7 +138,7 @@ def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_block_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_blocks(table(spark, sf_dir, "pages").repartition("page_id"))
+    return html_blocks(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
 
 
 # order and sections
@@ -146,7 +146,7 @@ def html_block_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reading_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_order(synthetic.blocks(documents(spark, sf_dir))).select("doc_id", "page", "block_ord", "zone", F.col("column").alias("col"), "pos")
+    return reading_order(synthetic.blocks(by_document(spark, sf_dir))).select("doc_id", "page", "block_ord", "zone", F.col("column").alias("col"), "pos")
 
 
 @query
@@ -179,7 +179,7 @@ def title_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bbox_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = synthetic.blocks(documents(spark, sf_dir)).select("doc_id", "page", "block_ord", F.struct("x0", "y0", "x1", "y1", "page").alias("b"))
+    b = synthetic.blocks(by_document(spark, sf_dir)).select("doc_id", "page", "block_ord", F.struct("x0", "y0", "x1", "y1", "page").alias("b"))
     o = b.select("doc_id", "page", F.col("block_ord").alias("other"), F.col("b").alias("o"))
     both = b.join(o, ["doc_id", "page"]).where("block_ord < other")
     return both.select("doc_id", "block_ord", "other", F.bround(geometry.iou(F.col("b"), F.col("o")), 6).alias("iou")).where("iou > 0")
@@ -187,12 +187,12 @@ def bbox_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merge_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return figures.merged_rects(synthetic.drawings(synthetic.blocks(documents(spark, sf_dir)))).select("doc_id", "page", "x0", "y0", "x1", "y1")
+    return figures.merged_rects(synthetic.drawings(synthetic.blocks(by_document(spark, sf_dir)))).select("doc_id", "page", "x0", "y0", "x1", "y1")
 
 
 @query
 def rect_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = synthetic.blocks(documents(spark, sf_dir))
+    b = synthetic.blocks(by_document(spark, sf_dir))
     r = synthetic.rasters(b).where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= B.MIN_AREA)
     return figures.free_of(synthetic.drawings(b), r).select("doc_id", "page", "rect_ord")
 
@@ -270,19 +270,19 @@ def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = parsing.summary_bullets(synthetic.summary_replies(documents(spark, sf_dir)))
+    b = parsing.summary_bullets(synthetic.summary_replies(by_document(spark, sf_dir)))
     return b.select("doc_id", "key", "bullet_ord", "text", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @query
 def summary_one_liner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.one_liners(synthetic.summary_replies(documents(spark, sf_dir))).select("doc_id", "one_liner")
+    return parsing.one_liners(synthetic.summary_replies(by_document(spark, sf_dir))).select("doc_id", "one_liner")
 
 
 @query
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = synthetic.summary_replies(documents(spark, sf_dir))
-    return r.select("doc_id", F.posexplode(text.citations(F.col("text"))).alias("ord", "chunk_id"))
+    return r.select("doc_id", F.posexplode_outer(text.citations(F.col("text"))).alias("ord", "chunk_id")).where("ord is not null")
 
 
 @query
@@ -322,7 +322,7 @@ def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = by_document(spark, sf_dir)
     urls = docs.select("doc_id", F.lit("figure").alias("kind"), F.explode(F.array(F.substring("text", 10, 6), F.lit("http://none"))).alias("crop_url"))
     return evaluation.heuristic(synthetic.results(docs), evaluation.top_keywords(line_chunks(spark, sf_dir)), urls.where("doc_id % 3 <> 0"))
 
@@ -372,7 +372,7 @@ def results_with_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metric(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return evaluation.reference_metrics(turns(spark, sf_dir).repartition("conv_id")).select("conv_id", "turn", name)
+        return evaluation.reference_metrics(turns(spark, sf_dir)).select("conv_id", "turn", name)
 
     return run
 
@@ -383,7 +383,7 @@ for _key, _column in (("rouge1", "rouge1_f1"), ("rouge2", "rouge2_f1"), ("rouge_
 
 @query
 def reference_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.reference_metrics(turns(spark, sf_dir).repartition("conv_id")).drop("text", "reference")
+    return evaluation.reference_metrics(turns(spark, sf_dir)).drop("text", "reference")
 
 
 # service
@@ -406,7 +406,7 @@ def model_spec_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.concat(F.lit(" openai:a, ,gemini:"), F.col("doc_id").cast("string"), F.lit(" ,,x"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.csv_list(c)).alias("ord", "model"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(text.csv_list(c)).alias("ord", "model")).where("ord is not null")
 
 
 @query

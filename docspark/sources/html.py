@@ -16,7 +16,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     """
     clean = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
     marked = F.regexp_replace(clean, MARKED, "\x01$1\x02")
-    df = pages.select("page_id", F.posexplode(F.split(marked, "\x01", -1)).alias("block_ord", "raw")).where("block_ord > 0")
+    df = pages.select("page_id", F.posexplode_outer(F.split(marked, "\x01", -1)).alias("block_ord", "raw")).where("block_ord is not null").where("block_ord > 0")
     tag = F.lower(F.substring_index("raw", "\x02", 1))
     inner = F.regexp_replace(F.substr(F.col("raw"), F.instr("raw", "\x02") + 1), r"<[^>]*>", " ")
     text = F.btrim(F.regexp_replace(inner, r"[ \t\r\n]+", " "))

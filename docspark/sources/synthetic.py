@@ -72,14 +72,14 @@ def rasters(block_rows: DataFrame) -> DataFrame:
     tiny = rect(0, x0, F.col("y0"), x0 + 10.0, F.col("y0") + 10.0)
     alone = rect(0, x0, F.col("y0"), x0 + 60.0, F.col("y0") + 50.0)
     some = F.when((h == 5) & (i % 4 == 0), F.array(own, rival)).when(h.isin(5, 6), F.array(own)).when(h == 10, F.array(tiny)).when(h == 12, F.array(alone))
-    return block_rows.select("doc_id", "page", F.explode(some).alias("r")).select("doc_id", "page", "r.*")
+    return block_rows.select("doc_id", "page", F.explode_outer(some).alias("r")).where("r is not null").select("doc_id", "page", "r.*")
 
 
 def drawings(block_rows: DataFrame) -> DataFrame:
     """Drawn rectangles: chains of three that merge at a margin of 15, and a fourth 18 points on that doesn't."""
     i = F.col("block_ord")
     left = F.transform(F.array(F.lit(0.0), F.lit(42.0), F.lit(84.0), F.lit(132.0)), lambda d: F.col("x0") + d)
-    each = block_rows.where("h = 11").select("doc_id", "page", i.alias("i"), "y0", F.posexplode(left).alias("k", "l"))
+    each = block_rows.where("h = 11").select("doc_id", "page", i.alias("i"), "y0", F.posexplode_outer(left).alias("k", "l")).where("k is not null")
     return each.select("doc_id", "page", (F.col("i") * 10 + F.col("k")).alias("rect_ord"), F.col("l").alias("x0"), "y0", (F.col("l") + 30.0).alias("x1"), (F.col("y0") + 40.0).alias("y1"))
 
 

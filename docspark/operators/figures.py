@@ -58,22 +58,44 @@ def free_of(rects: DataFrame, figures: DataFrame) -> DataFrame:
     return a.join(b, same & (overlap_area(box("a"), box("b")) > 0), "left_anti")
 
 
-def page_regions(raster: DataFrame, drawn: DataFrame, pages_with_text: DataFrame) -> DataFrame:
-    """doc_id, page, region_ord, x0, y0, x1, y1: candidate regions of figures and tables, raster images before drawings.
+def _overlaps(a: tuple[float, ...], b: tuple[float, ...]) -> bool:
+    return min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])
+
+
+def regions_of_page(images: list[tuple[float, ...]], drawn: list[tuple[float, ...]], has_text: bool) -> list[tuple[float, ...]]:
+    """Candidate regions of a page, images before drawings.
 
-    On a page with text or other regions: raster images of enough area, then merged drawings that overlap none of them.  On a page
-    without any: images and drawings merged together with the wider margin.
+    With text or other regions on the page: images of enough area, then merged drawings that overlap none of them.  Without any:
+    images and drawings merged together with the wider margin.
     """
-    cols = ["doc_id", "page", "rect_ord", "x0", "y0", "x1", "y1"]
-    big = raster.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= MIN_AREA).select(*cols)
-    vector = free_of(merged_rects(drawn), big).select(*cols)
-    layout = big.withColumn("k", F.lit(0)).unionByName(vector.withColumn("k", F.lit(1)))
-    laid = layout.select("doc_id", "page").unionByName(pages_with_text.select("doc_id", "page")).distinct()
-    loose = raster.select(*cols).withColumn("k", F.lit(0)).unionByName(drawn.select(*cols).withColumn("k", F.lit(1))).join(laid, ["doc_id", "page"], "left_anti")
-    order = Window.partitionBy("doc_id", "page").orderBy("k", "rect_ord")
-    loose = loose.withColumn("rect_ord", F.row_number().over(order)).drop("k")
-    both = layout.unionByName(merged_rects(loose, FALLBACK_MARGIN).withColumn("k", F.lit(0)))
-    return both.withColumn("region_ord", F.row_number().over(order) - 1).select("doc_id", "page", "region_ord", "x0", "y0", "x1", "y1")
+    large = lambda b: (b[2] - b[0]) * (b[3] - b[1]) >= MIN_AREA
+    drawn = [b for b in drawn if b[2] > b[0] and b[3] > b[1]]
+    big = [b for b in images if large(b)]
+    out = big + [c for c in merge_boxes(drawn, MERGE_MARGIN) if large(c) and not any(_overlaps(c, b) for b in big)]
+    if out or has_text:
+        return out
+    solid = [b for b in images if b[2] > b[0] and b[3] > b[1]]
+    return [c for c in merge_boxes(solid + drawn, FALLBACK_MARGIN) if large(c)]
+
+
+def page_regions(raster: DataFrame, drawn: DataFrame, pages_with_text: DataFrame) -> DataFrame:
+    """doc_id, page, region_ord, x0, y0, x1, y1: see ``regions_of_page``; one aggregate brings a page's rectangles together."""
+    rect = F.struct("rect_ord", "x0", "y0", "x1", "y1")
+    none_type = "struct<rect_ord: bigint, x0: double, y0: double, x1: double, y1: double>"
+    none = F.lit(None)
+    row = lambda df, image, drawing, text: df.select("doc_id", "page", image.cast(none_type).alias("i"), drawing.cast(none_type).alias("d"), F.lit(text).alias("t"))
+    rows = row(raster, rect, none, False).unionByName(row(drawn, none, rect, False)).unionByName(row(pages_with_text, none, none, True))
+    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("i")).alias("i"), F.array_sort(F.collect_list("d")).alias("d"), F.max("t").alias("t"))
+
+    @F.pandas_udf("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    def find(images: pd.Series, drawings: pd.Series, text: pd.Series) -> pd.Series:
+        box = lambda b: (b["x0"], b["y0"], b["x1"], b["y1"])
+        out = [regions_of_page([box(b) for b in i], [box(b) for b in d], bool(t)) for i, d, t in zip(images, drawings, text, strict=True)]
+        return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in p] for p in out])
+
+    found = pages.where((F.size("i") > 0) | (F.size("d") > 0)).select("doc_id", "page", find("i", "d", "t").alias("r"))
+    each = found.select("doc_id", "page", F.posexplode_outer("r").alias("region_ord", "b")).where("region_ord is not null")
+    return each.select("doc_id", "page", "region_ord", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 def caption_distance(r: Column, c: Column, margin: float = CAPTION_MARGIN) -> Column:
@@ -87,28 +109,35 @@ def caption_distance(r: Column, c: Column, margin: float = CAPTION_MARGIN) -> Co
     return F.when(sideways >= -GAP, dist)
 
 
+def _matched(regions: DataFrame, captions: DataFrame, margin: float) -> DataFrame:
+    """doc_id, page, r (region) and c (caption, with all its columns) of each match; regions and captions meet once, page by page."""
+    box = ["x0", "y0", "x1", "y1"]
+    more = [c for c in captions.columns if c not in ("doc_id", "page", "block_ord", *box)]
+    r = regions.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("region_ord", *box))).alias("regions"))
+    c = captions.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_ord", *box, *more))).alias("captions"))
+    start = F.array().cast("array<struct<region:int,caption:int>>")
+
+    def step(acc: Column, region: Column, i: Column) -> Column:
+        taken = F.transform(acc, lambda a: a["caption"])
+        dist = F.transform("captions", lambda x, j: F.struct(caption_distance(region, x, margin).alias("d"), j.alias("j")))
+        best = F.array_min(F.filter(dist, lambda x: x["d"].isNotNull() & ~F.coalesce(F.array_contains(taken, x["j"]), F.lit(False))))
+        found = F.struct(i.cast("int").alias("region"), best["j"].cast("int").alias("caption"))
+        return F.when(best.isNotNull(), F.array_append(acc, found)).otherwise(acc)
+
+    numbered = F.transform("regions", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    pairs = F.aggregate(numbered, start, lambda acc, n: step(acc, n["x"], n["i"]))
+    both = r.join(c, ["doc_id", "page"]).withColumn("pairs", pairs)
+    full = F.transform("pairs", lambda p: F.struct(F.get("regions", p["region"]).alias("r"), F.get("captions", p["caption"]).alias("c")))
+    return both.select("doc_id", "page", F.explode_outer(full).alias("m")).where("m is not null").select("doc_id", "page", "m.r", "m.c")
+
+
 def match_captions(regions: DataFrame, captions: DataFrame, margin: float = CAPTION_MARGIN) -> DataFrame:
     """doc_id, page, region_ord and caption_ord: each region in turn takes the nearest caption that is still free.
 
     ``captions`` has doc_id, page, block_ord and a rectangle; ties go to the first caption.  Regions that find none are left out.
     """
-    box = ["x0", "y0", "x1", "y1"]
-    r = regions.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("region_ord", *box))).alias("regions"))
-    c = captions.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_ord", *box))).alias("captions"))
-    both = r.join(c, ["doc_id", "page"])
-    ord_type = captions.schema["block_ord"].dataType.simpleString()
-    start = F.array().cast(f"array<struct<region_ord:int,caption_ord:{ord_type}>>")
-
-    def step(acc: Column, region: Column) -> Column:
-        taken = F.transform(acc, lambda a: a["caption_ord"])
-        free = F.filter("captions", lambda x: ~F.coalesce(F.array_contains(taken, x["block_ord"]), F.lit(False)))
-        dist = F.transform(free, lambda x: F.struct(caption_distance(region, x, margin).alias("d"), x["block_ord"].alias("o")))
-        best = F.array_min(F.filter(dist, lambda x: x["d"].isNotNull()))
-        found = F.struct(region["region_ord"].cast("int").alias("region_ord"), best["o"].alias("caption_ord"))
-        return F.when(best.isNotNull(), F.array_append(acc, found)).otherwise(acc)
-
-    matched = both.select("doc_id", "page", F.explode_outer(F.aggregate("regions", start, step)).alias("m")).where("m is not null")
-    return matched.select("doc_id", "page", "m.region_ord", "m.caption_ord")
+    m = _matched(regions, captions, margin)
+    return m.select("doc_id", "page", F.col("r.region_ord").alias("region_ord"), F.col("c.block_ord").alias("caption_ord"))
 
 
 def figures_tables(regions: DataFrame, captions: DataFrame, base_url: str = "", margin: float = CAPTION_MARGIN) -> DataFrame:
@@ -117,26 +146,24 @@ def figures_tables(regions: DataFrame, captions: DataFrame, base_url: str = "",
     ``captions`` also has text and pdf_sha256.  Two regions of a document with one label get different files: the page and the
     region's number on it are part of the name.
     """
-    m = match_captions(regions, captions, margin)
-    r = regions.select("doc_id", "page", "region_ord", *(F.col(k).alias(f"r{k}") for k in ("x0", "y0", "x1", "y1")))
-    c = captions.withColumnRenamed("block_ord", "caption_ord")
-    df = m.join(r, ["doc_id", "page", "region_ord"]).join(c, ["doc_id", "page", "caption_ord"])
-    text = strip(F.col("text"))
+    m = _matched(regions, captions, margin)
+    text, sha = strip(F.col("c.text")), F.col("c.pdf_sha256")
     label = F.when(text.rlike(CAPTION), F.regexp_extract(text, CAPTION, 0)).otherwise(F.substring(text, 1, 30))
-    name = F.concat(F.lit("fig_"), slug(label), F.format_string("_p%d_%d.png", "page", "region_ord"))
-    order = Window.partitionBy("doc_id").orderBy("page", "region_ord")
-    return df.select(
+    name = F.concat(F.lit("fig_"), slug(label), F.format_string("_p%d_%d.png", F.col("page"), F.col("r.region_ord")))
+    order = Window.partitionBy("doc_id").orderBy("page", "r.region_ord")
+    rect = lambda t: F.struct(*(F.col(f"{t}.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")), F.col("page").alias("page"))
+    return m.select(
         "doc_id",
         (F.row_number().over(order) - 1).alias("region_ord"),
         "page",
         F.when(text.rlike(TABLE_CAPTION), "table").otherwise("figure").alias("kind"),
         label.alias("label"),
-        F.struct(*(F.col(f"r{k}").alias(k) for k in ("x0", "y0", "x1", "y1")), F.col("page").alias("page")).alias("bbox"),
+        rect("r").alias("bbox"),
         text.alias("caption"),
-        F.struct(*(F.col(k) for k in ("x0", "y0", "x1", "y1")), F.col("page").alias("page")).alias("caption_bbox"),
-        "caption_ord",
-        F.concat("pdf_sha256", F.lit("/"), name).alias("crop_path"),
-        F.concat(F.lit(base_url.rstrip("/") + "/static/"), "pdf_sha256", F.lit("/"), name).alias("crop_url"),
+        rect("c").alias("caption_bbox"),
+        F.col("c.block_ord").alias("caption_ord"),
+        F.concat(sha, F.lit("/"), name).alias("crop_path"),
+        F.concat(F.lit(base_url.rstrip("/") + "/static/"), sha, F.lit("/"), name).alias("crop_url"),
     )
 
 

@@ -53,15 +53,15 @@ def split_by_tokens(text: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP
 def pieces(blocks: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """Blocks with doc_id, pos, block_id, text, section_id, page, bbox, is_caption become pieces: adds sub_idx and tok.
 
-    Only body blocks of more than ``most`` tokens go through Python.
+    Only the texts of body blocks of more than ``most`` tokens are sent to Python; the blocks are read once.
     """
-    tok = approx_tokens(F.col("text"))
-    whole = F.col("is_caption") | (tok <= most)
-    short = blocks.where(whole).withColumns({"sub_idx": F.lit(0), "piece": F.col("text")})
-    long = blocks.where(~whole).withColumn("__p", split_by_tokens(F.col("text"), most, overlap))
-    long = long.select(*blocks.columns, F.posexplode_outer("__p").alias("sub_idx", "piece")).where("sub_idx is not null")
-    both = short.unionByName(long).drop("text").withColumnRenamed("piece", "text")
-    return both.withColumn("tok", approx_tokens(F.col("text")))
+    whole = F.col("is_caption") | (approx_tokens(F.col("text")) <= most)
+    df = blocks.withColumn("__long", F.when(~whole, F.col("text")))
+    df = df.withColumn("__parts", split_by_tokens(F.col("__long"), most, overlap))
+    df = df.withColumn("__parts", F.when(F.col("__long").isNull(), F.array("text")).otherwise(F.col("__parts")))
+    kept = [c for c in blocks.columns if c != "text"]
+    out = df.select(*kept, F.posexplode_outer("__parts").alias("sub_idx", "text")).where("sub_idx is not null")
+    return out.withColumn("tok", approx_tokens(F.col("text")))
 
 
 def chunk_numbers(items: Column, most: int) -> Column:

@@ -36,11 +36,15 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, level: int = 3) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, level: int = 0) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    ``level``: of zstd, for tables that are large and compress; 0 for others, which need none of its buffers.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    w = df.write.option("compression", "zstd" if level else "snappy")
+    (w.option("parquet.compression.codec.zstd.level", level) if level else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,7 +55,7 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
 
 
 #: Rows of an Arrow batch: a batch of texts is held on both sides, for every task of an executor.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -89,7 +89,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield from out(np.arange(256), np.full(256, -1), octets)
 
     each = docs.select("text").mapInArrow(run, "word long, length int, n long")
-    return written(each.groupBy("word", (F.col("length") < 0).alias("octet")).agg(F.max("length").alias("length"), F.sum("n").alias("n")), "counts")
+    return written(each.groupBy("word", (F.col("length") < 0).alias("octet")).agg(F.max("length").alias("length"), F.sum("n").alias("n")), "counts", 3)
 
 
 @dataclass
@@ -289,7 +289,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield _scored(held, m, lex.end)
 
     schema = "doc_id long, n_tokens long, n_often long, often double, score double, rare array<long>, rare_n array<int>, rare_x array<float>"
-    first = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    first = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores", 3)
     pairs = first.select("row", F.explode(F.arrays_zip("rare", "rare_n", "rare_x")).alias("p"))
     pairs = pairs.select("row", F.col("p.rare").alias("word"), F.col("p.rare_n").alias("times"), F.col("p.rare_x").cast("double").alias("x"))
     seldom = counts.where(~F.col("octet") & (F.col("n") * FREQUENT < lex.total)).select("word", "n")

@@ -84,7 +84,7 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return {"n_tokens": pa.array(out["n_tokens"], pa.int64()), "curve": pa.array(out["curve"], pa.int64()), "ids": pa.array(out["ids"], pa.binary())}
 
     made = arrow_map(spread(docs.select("doc_id", "text")), "text", ["doc_id"], "n_tokens long, curve long, ids binary", run)
-    return written(made.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "tokens", 3)
 
 
 def positions(tokens: DataFrame) -> DataFrame:

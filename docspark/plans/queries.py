@@ -40,7 +40,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 def line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as blocks, five lines to a section, in pieces of up to 64 tokens."""
-    b = lines(by_document(spark, sf_dir)).select(
+    b = lines(documents(spark, sf_dir)).select(  # Python forgets a partitioning: the fold deals the pieces by document
         "doc_id",
         F.col("i").alias("pos"),
         text.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string"))).alias("block_id"),

@@ -169,7 +169,8 @@ Pattern = tuple[str, tuple[int, ...]]
 def vote_counts(docs: DataFrame) -> dict[Pattern, int]:
     """How often each pattern of votes occurs, over all documents."""
     c = with_candidates(spread(docs), [])
-    each = c.select(F.explode(F.concat(*(f"__c_{k}" for k in KINDS + MORE_KINDS))).alias("c"))
+    # outer: else a filter is inferred that takes every text apart a second time
+    each = c.select(F.explode_outer(F.concat(*(f"__c_{k}" for k in KINDS + MORE_KINDS))).alias("c")).where("c is not null")
     rows = each.groupBy("c.kind", *(f"c.{x}" for x in LABELERS)).count().collect()
     return {(r["kind"], tuple(r[x] for x in LABELERS)): r["count"] for r in rows}
 

@@ -11,15 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import textcore
+from docspark.sources.tables import spread, table
+
+__all__ = ["arrow_map", "bounded_batches", "crc_of_id", "new_path", "shared_dir", "small", "spread", "table", "with_statistics", "written"]
 
 #: Most rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -104,12 +103,5 @@ def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
     return arrow_map(df, "text", keep, schema, textcore.statistics)
 
 
-def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-    """Deal the rows of a small table in few files over all cores; others are read as they lie, without a shuffle."""
-    least = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(least) if size < most_bytes and len(df.inputFiles()) < least else df
-
-
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))

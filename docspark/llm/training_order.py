@@ -32,6 +32,8 @@ SIZE = 1024
 #: Sequences in a shard: 32 MB of 16-bit ids.
 PER_SHARD = 16_384
 ROUNDS = 6
+#: Sequences of a task that are dealt to shards together: larger blocks compress better.
+TOGETHER = 16_384
 #: Of zstd, for what is written and sent on the way: sequences take most of the disk.
 LEVEL = 9
 
@@ -126,20 +128,33 @@ def materialise(docs: DataFrame, path: str, key: int = 1, size: int = SIZE, per_
     block = "shard int, meta binary, body binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequences of a batch by shard, a compressed block each."""
+        """Sequences by shard, a compressed block for each shard and every ``TOGETHER`` sequences."""
         import zstandard
 
         z = zstandard.ZstdCompressor(LEVEL)
-        for b in batches:
+
+        def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            b = pa.Table.from_batches(held).combine_chunks()
             seq = b.column(1).to_numpy() + np.array([bases[p] for p in b.column(0).to_pylist()], np.int64)
             slot = order.slot(seq)
             n, docs_of, ids = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
+            by_shard = np.argsort(slot // per_shard, kind="stable")
             out = []
-            for k in np.unique(slot // per_shard):
-                at = np.flatnonzero(slot // per_shard == k)
+            for at in np.split(by_shard, np.flatnonzero(np.diff((slot // per_shard)[by_shard])) + 1):
                 meta = json.dumps([(int(slot[i]), int(seq[i]), n[i], docs_of[i]) for i in at]).encode()
-                out.append((int(k), z.compress(meta), z.compress(b"".join(ids[i].as_py() for i in at.tolist()))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "meta", "body"])
+                out.append((int(slot[at[0]] // per_shard), z.compress(meta), z.compress(b"".join(ids[i].as_py() for i in at.tolist()))))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "meta", "body"])
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= TOGETHER:
+                yield blocks(held)
+                held, size = [], 0
+        if held:
+            yield blocks(held)
 
     rows = "slot long, shard int, position long, sequence_id long, n_tokens long, ids_crc32 long, doc_ids array<long>"
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))

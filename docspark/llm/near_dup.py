@@ -207,8 +207,9 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep, np.int64)), pa.array(np.full(len(part), len(v), np.int64)), pa.array(part)], names=["rep", "n", "value"])
 
     each = written(sets.select("rep", "shingles").mapInArrow(exploded, "rep long, n long, value long"), "shingles")
-    often = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(often, "value")
+    # written before they are joined: a join that stands alone can split a shingle that thousands of documents share
+    often = written(each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    shared = each.join(small(often), "value")
     by_rep = Window.partitionBy("rep")
     ranked = shared.withColumns({
         "s": F.count("*").over(by_rep),
@@ -220,7 +221,8 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
     prefix = written(_with_comp(prefix, "rep", comp, "comp"), "prefixes")
     sizes = prefix.groupBy("value", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    live = prefix.join(main.select("value", "main"), "value")
+    main = written(main.select("value", "main"), "main")
+    live = written(prefix.join(small(main), "value"), "live")
     minor = live.where("comp <> main").select("value", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "s", "comp", "place")))
     needed = F.ceil(LEAST * (F.col("n") + F.col("n_")) / F.lit(float(OVER + LEAST)) - 1e-9)  # shared shingles of a linked pair
     close = (
@@ -231,7 +233,7 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
         & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) + 1 >= needed)
         & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("rep_")))
     )
-    both = live.join(minor, ["value"]).where(close)
+    both = live.join(small(minor), ["value"]).where(close)
     return both.select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b")).distinct()
 
 

@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     needed = written(members_of, "members")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small(needed), "rep", "left_semi")
-    sets = written(arrow_map(spread(texts), "text", ["rep"], "shingles binary", _packed), "sets").dropDuplicates(["rep"])
+    sets = written(arrow_map(spread(texts), "text", ["rep"], "shingles binary", _packed), "sets")
+    if sets.count() != needed.count():  # rows that share a doc_id; else no aggregate stands before the joins, and they can be split
+        sets = written(sets.dropDuplicates(["rep"]), "sets")
 
     central = members.groupBy("rep").agg(F.sum("size").alias("central"))
     bucket = members.join(central, "rep")

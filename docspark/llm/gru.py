@@ -116,7 +116,10 @@ class Gru:
             dx[t, :, 2 * HIDDEN :], da[:, 2 * HIDDEN :] = dn, dn * r
             g.u[:] += before[t].T @ da
             carry = np.where(fresh[t][:, None], F32(0), d * z + da @ self.u.T)
-        np.add.at(g.x, inputs.ravel(), dx.reshape(-1, 3 * HIDDEN))
+        token = inputs.ravel()
+        order = np.argsort(token, kind="stable")
+        at = np.flatnonzero(np.diff(token[order], prepend=-1))
+        g.x[token[order][at]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], at, axis=0)
         return g, h, loss / n
 
     def train(self, ids: np.ndarray, end: int, streams: int = 64, window: int = WINDOW, rate: float = 0.01) -> float:

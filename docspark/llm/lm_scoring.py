@@ -8,8 +8,8 @@ summed while the texts are read; the other words go to their counts by a join.
 Model: the most frequent words are tokens of their own, all others become a token of their length (in bytes).  Under such a token a word
 has the probability (c + T * spelling) / (N + T) with its count c, and the N tokens and T - 1 words counted there; spelling is
 a byte-unigram probability, so that every text has a probability.  Training runs where the data lie: in each round every task trains a
-copy of the model on its share of the training documents (1 / ``SHARE`` of all, by hash, another share each round), and the copies are
-averaged, weighted by tokens.  Scores carry the recurrent state through the whole document.
+copy of the model on its share of the training documents (1 / ``ROUNDS`` of all, by hash of the row, another share each round, until
+every one has been learned), and the copies are averaged, weighted by tokens.  Scores carry the recurrent state through the whole document.
 
 Null or empty text: only the end token.  Null doc_id: not held out.  Repeated rows count and score once each.  No training documents: base
 scores of 0 and the untrained model.  Empty table: empty result.  Extra columns are not read.
@@ -31,7 +31,8 @@ from docspark.llm.common import bounded_batches, crc_of_id, spread, written
 from docspark.llm.textcore import LOWER, slices, words
 
 FREQUENT = 500_000
-SHARE, ROUNDS = 16, 2
+#: Rounds of training; each takes another 1 / ROUNDS of the training documents, so that all are learned.
+ROUNDS = 16
 #: Byte lengths of words at which a new token for rare words begins.
 LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18, 24])
 KNOWN = gru.TOKENS - len(LENGTHS) - 1
@@ -207,13 +208,13 @@ def read_tokens(texts: pa.Array, lex: Lexicon) -> Iterator[Reading]:
         yield Reading(doc, inv, u, own, spelling, lex.log_mass[bucket], ids, first)
 
 
-def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUNDS) -> np.ndarray:
-    """Model parameters after ``rounds`` of training in the tasks and averaging; each entry is averaged by Spark."""
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
+    """Model parameters after one pass over all documents in ``rounds`` of training in the tasks and averaging; each entry is averaged by Spark."""
     flat = gru.Gru.start(lex.start).flat
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(lex)
     for r in range(rounds):
-        mine = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(share)) == r)
+        mine = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(rounds)) == r)
         now = sc.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:

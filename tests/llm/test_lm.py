@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docspark.llm import gru, lm_scoring
@@ -103,3 +104,13 @@ def test_empty_and_untrained(spark):
     held = [(i, "some words") for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = lm_scoring.score(spark.createDataFrame(held, "doc_id long, text string")).collect()
     assert all((r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and math.isfinite(r.score) for r in got)
+
+
+def test_every_training_document_is_learned(spark):
+    rows = [(None if i % 4 == 0 else i, f"word{i} " * 30) for i in range(48)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    lex = lm_scoring.Lexicon.of(lm_scoring.count_words(docs))
+    before, after = gru.Gru.start(lex.start), gru.Gru(lm_scoring.train(docs, lex))
+    moved = np.abs(after.x - before.x).max(1)
+    for r in lm_scoring.read_tokens(pa.array([t for _, t in rows]), lex):
+        assert r.own.all() and np.all(moved[np.setdiff1d(r.ids, [lex.end])] > 1e-5)

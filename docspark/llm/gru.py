@@ -64,10 +64,10 @@ class Gru:
                 out[i] += o[np.arange(len(i)), target[i] - k * PER_CLASS] - top - np.log(np.exp(o - top[:, None]).sum(1))
         return out
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Gru, np.ndarray, float]:
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[Gru, np.ndarray, float]:
         """Mean gradient of the negative log-likelihood over a window (time by stream), last state, mean loss.
 
-        ``fresh`` marks places where a document begins, and so the state is zero.
+        ``fresh`` marks places where a document begins, and so the state is zero; ``real`` is false on padding, which teaches nothing.
         """
         steps, b = inputs.shape
         g = Gru(np.zeros(self.SIZE))
@@ -78,18 +78,21 @@ class Gru:
             h, *gates = self.step(self.x[inputs[t]], h)
             kept.append(gates)
             states[t] = h
-        flat, target, n = states.reshape(-1, HIDDEN), targets.ravel(), steps * b
+        flat, target = states.reshape(-1, HIDDEN), targets.ravel()
         c = flat @ self.cw + self.cb
         c = np.exp(c - c.max(1, keepdims=True))
         c /= c.sum(1, keepdims=True)
         cls = target // PER_CLASS
-        rows = np.arange(n)
-        loss = -np.log(np.maximum(c[rows, cls], 1e-30)).sum()
-        c[rows, cls] -= 1
+        rows = np.arange(steps * b) if real is None else np.flatnonzero(real)
+        n, mine = len(rows), cls[rows]
+        loss = -np.log(np.maximum(c[rows, mine], 1e-30)).sum()
+        c[rows, mine] -= 1
+        if real is not None:
+            c[~real.ravel()] = 0
         c /= n
         g.cw[:], g.cb[:] = flat.T @ c, c.sum(0)
         dh = c @ self.cw.T
-        order = np.argsort(cls, kind="stable")
+        order = rows[np.argsort(mine, kind="stable")]
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             i = order[ends[k] : ends[k + 1]]
@@ -125,14 +128,16 @@ class Gru:
     def train(self, ids: np.ndarray, end: int, streams: int = 64, window: int = WINDOW, rate: float = 0.01) -> float:
         """One pass over documents laid end to end (each closed by ``end``), by Adam on windows; returns the last mean loss."""
         streams = int(max(1, min(streams, len(ids) // (4 * window))))
-        length = len(ids) // streams
-        target = ids[: streams * length].reshape(streams, length).T
+        length = -(-len(ids) // streams)
+        padding = streams * length - len(ids)  # the last stream's end
+        target = np.concatenate((ids, np.full(padding, end, ids.dtype))).reshape(streams, length).T
+        real = np.arange(streams * length).reshape(streams, length).T < len(ids)
         source = np.vstack((np.full((1, streams), end), target[:-1]))
         m, v = np.zeros(self.SIZE, F32), np.zeros(self.SIZE, F32)
         h, loss = np.zeros((streams, HIDDEN), F32), 0.0
         for k, a in enumerate(range(0, length, window), 1):
             b = min(a + window, length)
-            g, h, now = self.gradient(source[a:b], target[a:b], source[a:b] == end, h)
+            g, h, now = self.gradient(source[a:b], target[a:b], source[a:b] == end, h, real[a:b] if padding and b > length - padding else None)
             norm = float(np.sqrt((g.flat**2).sum()))
             g.flat *= F32(min(1.0, 1.0 / max(norm, 1e-12)))
             m += F32(0.1) * (g.flat - m)

@@ -59,6 +59,25 @@ def test_windows_carry_the_state():
     assert total == pytest.approx(a[1], rel=1e-4)
 
 
+def test_training_keeps_the_last_tokens():
+    for n, tail in ((64 * 80, 40), (64 * 80, 63), (64 * 85, 1)):
+        ids = np.concatenate((np.full(n, 5), np.full(tail, 700)))
+        m = gru.Gru.start(np.ones(gru.TOKENS))
+        before = m.ob[700 // gru.PER_CLASS, 700 % gru.PER_CLASS]
+        m.train(ids, 0)
+        assert m.ob[700 // gru.PER_CLASS, 700 % gru.PER_CLASS] > before
+
+
+def test_padding_teaches_nothing():
+    rng = np.random.default_rng(4)
+    m = gru.Gru(rng.standard_normal(gru.Gru.SIZE) * 0.3)
+    inputs, targets = rng.integers(0, gru.TOKENS, (6, 1)), rng.integers(0, gru.TOKENS, (6, 1))
+    fresh, h = np.zeros((6, 1), bool), np.zeros((1, gru.HIDDEN), np.float32)
+    short, _, a = m.gradient(inputs[:4], targets[:4], fresh[:4], h)
+    padded, _, b = m.gradient(inputs, targets, fresh, h, np.arange(6)[:, None] < 4)
+    assert np.allclose(short.flat, padded.flat, atol=1e-6) and a == pytest.approx(b, rel=1e-5)
+
+
 HELD = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0)
 
 

@@ -6,14 +6,35 @@ Inputs enter by table look-up, as an embedding times the input weights of all th
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
+HIDDEN, CLASSES, PER_CLASS = 24, 48, 48
 TOKENS = CLASSES * PER_CLASS
-WINDOW = 20
+#: Tokens that backpropagation looks back, and documents side by side.
+WINDOW, STREAMS = 16, 256
 F32 = np.float32
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Natural log of the sum of exponentials of each row; ``x`` is used up."""
+    top = x.max(1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(1))
+
+
+def _to_errors(x: np.ndarray, rows: np.ndarray, target: np.ndarray) -> float:
+    """Turn logits into probabilities less the targets, in place; returns the sum of the targets' log probabilities."""
+    x -= x.max(1)[:, None]
+    np.exp(x, out=x)
+    x /= x.sum(1)[:, None]
+    total = float(np.log(np.maximum(x[rows, target], 1e-30)).sum())
+    x[rows, target] -= 1
+    return total
+
+
 class Gru:
     """Parameters as views of one flat vector, so that models can be averaged entry by entry."""
 
@@ -49,85 +70,94 @@ class Gru:
 
     def log_likelihood(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target, given states (rows)."""
-        c = h @ self.cw + self.cb
+        c = h @ self.cw
+        c += self.cb
         cls = target // PER_CLASS
         rows = np.arange(len(h))
-        top = c.max(1)
-        out = c[rows, cls] - top - np.log(np.exp(c - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            i = order[ends[k] : ends[k + 1]]
-            if len(i):
-                o = h[i] @ self.ow[k].T + self.ob[k]
-                top = o.max(1)
-                out[i] += o[np.arange(len(i)), target[i] - k * PER_CLASS] - top - np.log(np.exp(o - top[:, None]).sum(1))
+        out = c[rows, cls] - _log_sum(c)
+        order, ends, o = self._within(h, cls)
+        out[order] += o[rows, target[order] % PER_CLASS] - _log_sum(o)
         return out
 
+    def _within(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by class, where each class ends among them, and their logits within the class."""
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        sorted_h, o = h[order], np.empty((len(h), PER_CLASS), F32)
+        for k in np.flatnonzero(np.diff(ends)):
+            at = slice(ends[k], ends[k + 1])
+            np.matmul(sorted_h[at], self.ow[k].T, out=o[at])
+            o[at] += self.ob[k]
+        return order, ends, o
+
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[Gru, np.ndarray, float]:
         """Mean gradient of the negative log-likelihood over a window (time by stream), last state, mean loss.
 
         ``fresh`` marks places where a document begins, and so the state is zero; ``real`` is false on padding, which teaches nothing.
         """
         steps, b = inputs.shape
-        g = Gru(np.zeros(self.SIZE))
-        before, kept, states = [], [], np.empty((steps, b, HIDDEN), F32)
+        g = Gru(np.zeros(self.SIZE, F32))
+        before, states = np.empty((steps, b, HIDDEN), F32), np.empty((steps, b, HIDDEN), F32)
+        kept = []
         for t in range(steps):
-            h = np.where(fresh[t][:, None], F32(0), h)
-            before.append(h)
-            h, *gates = self.step(self.x[inputs[t]], h)
+            before[t] = h
+            before[t][fresh[t]] = 0
+            h, *gates = self.step(self.x[inputs[t]], before[t])
             kept.append(gates)
             states[t] = h
         flat, target = states.reshape(-1, HIDDEN), targets.ravel()
-        c = flat @ self.cw + self.cb
-        c = np.exp(c - c.max(1, keepdims=True))
-        c /= c.sum(1, keepdims=True)
-        cls = target // PER_CLASS
-        rows = np.arange(steps * b) if real is None else np.flatnonzero(real)
-        n, mine = len(rows), cls[rows]
-        loss = -np.log(np.maximum(c[rows, mine], 1e-30)).sum()
-        c[rows, mine] -= 1
         if real is not None:
-            c[~real.ravel()] = 0
-        c /= n
+            rows = np.flatnonzero(real)
+            flat, target = flat[rows], target[rows]
+        n, cls = len(flat), target // PER_CLASS
+        here = np.arange(n)
+        c = flat @ self.cw
+        c += self.cb
+        loss = -_to_errors(c, here, cls)
+        c /= F32(n)
         g.cw[:], g.cb[:] = flat.T @ c, c.sum(0)
-        dh = c @ self.cw.T
-        order = rows[np.argsort(mine, kind="stable")]
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            i = order[ends[k] : ends[k + 1]]
-            if len(i):
-                o = flat[i] @ self.ow[k].T + self.ob[k]
-                o = np.exp(o - o.max(1, keepdims=True))
-                o /= o.sum(1, keepdims=True)
-                at = (np.arange(len(i)), target[i] - k * PER_CLASS)
-                loss -= np.log(np.maximum(o[at], 1e-30)).sum()
-                o[at] -= 1
-                o /= n
-                g.ow[k], g.ob[k] = o.T @ flat[i], o.sum(0)
-                dh[i] += o @ self.ow[k]
-        dh = dh.reshape(steps, b, HIDDEN)
+        d = c @ self.cw.T
+        order, ends, o = self._within(flat, cls)
+        loss -= _to_errors(o, here, target[order] % PER_CLASS)
+        o /= F32(n)
+        by_class, back = flat[order], np.empty((n, HIDDEN), F32)
+        for k in np.flatnonzero(np.diff(ends)):
+            at = slice(ends[k], ends[k + 1])
+            g.ow[k], g.ob[k] = o[at].T @ by_class[at], o[at].sum(0)
+            np.matmul(o[at], self.ow[k], out=back[at])
+        d[order] += back
+        if real is None:
+            dh = d.reshape(steps, b, HIDDEN)
+        else:
+            dh = np.zeros((steps * b, HIDDEN), F32)
+            dh[rows] = d
+            dh = dh.reshape(steps, b, HIDDEN)
         carry = np.zeros((b, HIDDEN), F32)
-        dx = np.empty((steps, b, 3 * HIDDEN), F32)
+        dx, da = np.empty((steps, b, 3 * HIDDEN), F32), np.empty((steps, b, 3 * HIDDEN), F32)
         for t in range(steps - 1, -1, -1):
             z, r, new, a = kept[t]
             d = dh[t] + carry
             dn = d * (1 - z) * (1 - new * new)
-            da = np.empty((b, 3 * HIDDEN), F32)
-            dx[t, :, :HIDDEN] = da[:, :HIDDEN] = d * (before[t] - new) * z * (1 - z)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = da[:, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :], da[:, 2 * HIDDEN :] = dn, dn * r
-            g.u[:] += before[t].T @ da
-            carry = np.where(fresh[t][:, None], F32(0), d * z + da @ self.u.T)
+            dx[t, :, :HIDDEN] = d * (before[t] - new) * z * (1 - z)
+            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
+            dx[t, :, 2 * HIDDEN :] = dn
+            da[t] = dx[t]
+            da[t, :, 2 * HIDDEN :] *= r
+            carry = d * z + da[t] @ self.u.T
+            carry[fresh[t]] = 0
+        g.u[:] = before.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
         token = inputs.ravel()
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token.astype(np.int16), kind="stable")
         at = np.flatnonzero(np.diff(token[order], prepend=-1))
         g.x[token[order][at]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], at, axis=0)
         return g, h, loss / n
 
-    def train(self, ids: np.ndarray, end: int, streams: int = 64, window: int = WINDOW, rate: float = 0.01) -> float:
-        """One pass over documents laid end to end (each closed by ``end``), by Adam on windows; returns the last mean loss."""
-        streams = int(max(1, min(streams, len(ids) // (4 * window))))
+    def train(self, ids: np.ndarray, end: int, streams: int = STREAMS, window: int = WINDOW, rate: float = 0.02) -> float:
+        """One pass over documents laid end to end (each closed by ``end``), by Adam on windows; returns the last mean loss.
+
+        The documents run side by side in ``streams``, fewer where that would leave less than 64 windows.
+        """
+        streams = int(max(1, min(streams, len(ids) // (64 * window))))
         length = -(-len(ids) // streams)
         padding = streams * length - len(ids)  # the last stream's end
         target = np.concatenate((ids, np.full(padding, end, ids.dtype))).reshape(streams, length).T
@@ -138,38 +168,53 @@ class Gru:
         for k, a in enumerate(range(0, length, window), 1):
             b = min(a + window, length)
             g, h, now = self.gradient(source[a:b], target[a:b], source[a:b] == end, h, real[a:b] if padding and b > length - padding else None)
-            norm = float(np.sqrt((g.flat**2).sum()))
-            g.flat *= F32(min(1.0, 1.0 / max(norm, 1e-12)))
-            m += F32(0.1) * (g.flat - m)
-            v += F32(0.005) * (g.flat**2 - v)
-            self.flat -= F32(rate) * (m / F32(1 - 0.9**k)) / (np.sqrt(v / F32(1 - 0.995**k)) + F32(1e-6))
+            d = g.flat
+            d *= F32(min(1.0, 1.0 / max(float(np.sqrt(np.dot(d, d))), 1e-12)))
+            m *= F32(0.9)
+            m += F32(0.1) * d
+            d *= d
+            v *= F32(0.995)
+            v += F32(0.005) * d
+            np.sqrt(v, out=d)
+            d *= F32(1 / math.sqrt(1 - 0.995**k))
+            d += F32(1e-6)
+            np.divide(m, d, out=d)
+            d *= F32(rate / (1 - 0.9**k))
+            self.flat -= d
             loss = now
         return loss
 
-    def score(self, ids: np.ndarray, first: np.ndarray, end: int, window: int = 16) -> np.ndarray:
+    def score(self, ids: np.ndarray, first: np.ndarray, end: int, window: int = 16, together: int = 512) -> np.ndarray:
         """Natural log-likelihood of whole documents: ids first[d] .. first[d + 1], each closed by ``end``.
 
-        All documents advance together, longest first; the state of each is carried from window to window to its end.
+        Up to ``together`` documents of like length advance side by side; the state of each is carried from window to window to its end.
         """
         n = np.diff(first)
         order = np.argsort(-n, kind="stable")
-        length, begin = n[order], first[:-1][order]
-        out = np.zeros(len(n))
-        h = np.zeros((len(n), HIDDEN), F32)
-        previous = np.full(len(n), end)
-        for a in range(0, int(length[0]) if len(length) else 0, window):
+        back = np.empty(len(n))
+        for at in range(0, len(n), together):
+            mine = order[at : at + together]
+            back[mine] = self._side_by_side(ids, first[:-1][mine], n[mine], end, window)
+        return back
+
+    def _side_by_side(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, end: int, window: int) -> np.ndarray:
+        """Scores of documents that are ordered by falling length."""
+        out = np.zeros(len(length))
+        h = np.zeros((len(length), HIDDEN), F32)
+        previous = np.full(len(length), end)
+        a = 0
+        while a < length[0]:
+            alive = int(np.searchsorted(-length, -a, side="left"))
+            stop = min(a + window * max(1, len(length) // alive), int(length[0]))  # longer windows once few are left
             states, targets, owners = [], [], []
-            for t in range(a, a + window):
+            for t in range(a, stop):
                 alive = int(np.searchsorted(-length, -t, side="left"))  # documents with more than t tokens
-                if not alive:
-                    break
                 h = self.step(self.x[previous[:alive]], h[:alive])[0]
                 previous = ids[begin[:alive] + t].astype(np.int64)
                 states.append(h)
                 targets.append(previous)
                 owners.append(alive)
             who = np.concatenate([np.arange(k) for k in owners])
-            out += np.bincount(who, self.log_likelihood(np.concatenate(states), np.concatenate(targets)), len(n))
-        back = np.empty(len(n))
-        back[order] = out
-        return back
+            out += np.bincount(who, self.log_likelihood(np.concatenate(states), np.concatenate(targets)), len(length))
+            a = stop
+        return out

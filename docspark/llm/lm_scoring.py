@@ -9,7 +9,7 @@ Model: the most frequent words are tokens of their own, all others become a toke
 has the probability (c + T * spelling) / (N + T) with its count c, and the N tokens and T - 1 words counted there; spelling is
 a byte-unigram probability, so that every text has a probability.  Training runs where the data lie: in each round every task trains a
 copy of the model on its share of the training documents (1 / ``ROUNDS`` of all, by hash of the row, another share each round, until
-every one has been learned), and the copies are averaged, weighted by tokens.  Scores carry the recurrent state through the whole document.
+every one has been learned), and the copies are averaged piece by piece, weighted by tokens.  Scores carry the recurrent state through the whole document.
 
 Null or empty text: only the end token.  Null doc_id: not held out.  Repeated rows count and score once each.  No training documents: base
 scores of 0 and the untrained model.  Empty table: empty result.  Extra columns are not read.
@@ -32,13 +32,17 @@ from docspark.llm.textcore import LOWER, slices, words
 
 FREQUENT = 500_000
 #: Rounds of training; each takes another 1 / ROUNDS of the training documents, so that all are learned.
-ROUNDS = 16
+ROUNDS, RATE = 4, 0.02
+#: Least training tokens of a copy that learns: fewer tasks train on a small corpus, as an average of many short runs learns little.
+TOKENS_OF_TRAINER = 1_000_000
+#: Pieces in which a model travels.
+CHUNKS = 16
 #: Byte lengths of words at which a new token for rare words begins.
 LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18, 24])
 KNOWN = gru.TOKENS - len(LENGTHS) - 1
 TAIL = 0.9
 END_HASH = -(2**62) - 12345
-#: Tokens whose documents run through the model side by side.
+#: Tokens whose documents run through the model, or are learned, together.
 TOGETHER = 4_000_000
 ADD = 0.1
 
@@ -209,29 +213,60 @@ def read_tokens(texts: pa.Array, lex: Lexicon) -> Iterator[Reading]:
 
 
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
-    """Model parameters after one pass over all documents in ``rounds`` of training in the tasks and averaging; each entry is averaged by Spark."""
+    """Model parameters after one pass over all documents in ``rounds`` of training in the tasks and averaging.
+
+    A task sends its copy as ``CHUNKS`` pieces; those of one place meet in one reducer, so no task and no driver holds many copies.
+    """
     flat = gru.Gru.start(lex.start).flat
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(lex)
+    bounds = np.linspace(0, gru.Gru.SIZE, CHUNKS + 1).astype(int)
+    names = ["chunk", "n", "sums"]
+    trainers = max(1, lex.total // TOKENS_OF_TRAINER)
+
+    def batch(rows: list[tuple[int, float, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.binary()), strict=True)], names=names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of the pieces of each place."""
+        total: dict[int, list] = {}
+        for b in batches:
+            for k, n, v in zip(*(b.column(i) for i in range(3)), strict=True):
+                at = total.setdefault(k.as_py(), [0.0, 0.0])
+                at[0] += n.as_py()
+                at[1] = at[1] + np.frombuffer(v.as_buffer(), np.float64)
+        if total:
+            yield batch([(k, n, v.tobytes()) for k, (n, v) in total.items()])
+
     for r in range(rounds):
         mine = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(rounds)) == r)
         now = sc.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:
-            lex = known.value
-            ids = [x.ids for b in batches for x in read_tokens(b.column(0), lex)]
-            ids = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-            if len(ids):
-                m = gru.Gru(now.value.copy())
-                m.train(ids, lex.end, rate=0.01 / (r + 1))
-                n = float(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(m.SIZE, dtype=np.int32)), pa.array(m.flat.astype(float) * n), pa.array(np.full(m.SIZE, n))], names=["i", "v", "n"])
-
-        each = mine.select("text").mapInArrow(run, "i int, v double, n double")
-        got = each.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()  # as many rows as the model has parameters
-        if len(got):
-            flat = np.empty(gru.Gru.SIZE, np.float32)
-            flat[got["i"].to_numpy()] = got["v"].to_numpy()
+            lex, m, n = known.value, gru.Gru(now.value.copy()), 0
+
+            def learn(held: list[np.ndarray]) -> int:
+                ids = np.concatenate(held).astype(np.int32)
+                m.train(ids, lex.end, rate=RATE * (1 - r / rounds))
+                return len(ids)
+
+            held, size = [], 0
+            for b in batches:
+                for x in read_tokens(b.column(0), lex):
+                    held.append(x.ids)
+                    size += len(x.ids)
+                    if size >= TOGETHER:
+                        n += learn(held)
+                        held, size = [], 0
+            if held:
+                n += learn(held)
+            if n:
+                yield batch([(k, float(n), (m.flat[a:b].astype(np.float64) * n).tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
+
+        each = mine.select("text").coalesce(trainers).mapInArrow(run, "chunk int, n double, sums binary")
+        got = each.repartition(CHUNKS, "chunk").mapInArrow(added, "chunk int, n double, sums binary").collect()  # CHUNKS rows
+        if got:
+            flat = np.concatenate([np.frombuffer(x.sums) / x.n for x in sorted(got, key=lambda x: x.chunk)]).astype(np.float32)
     return flat
 
 
@@ -266,15 +301,19 @@ def _scored(held: list[tuple[pa.Array, list]], m: gru.Gru, end: int) -> pa.Recor
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+
+    Without rounds the recurrent model gives each token its share of the counts, all but: a unigram model with the same spelling.
+    """
     bounded_batches(docs.sparkSession)
     docs = spread(docs.select("doc_id", "text"))
     learn = docs.where(~held_out(F.col("doc_id")))
     counts = count_words(learn)
     lex = Lexicon.of(counts)
     known = docs.sparkSession.sparkContext.broadcast(lex)
-    model = docs.sparkSession.sparkContext.broadcast(train(learn, lex))
+    model = docs.sparkSession.sparkContext.broadcast(train(learn, lex, rounds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, m = known.value, gru.Gru(model.value)
         held: list[tuple[pa.Array, list]] = []

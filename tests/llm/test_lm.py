@@ -133,3 +133,12 @@ def test_every_training_document_is_learned(spark):
     moved = np.abs(after.x - before.x).max(1)
     for r in lm_scoring.read_tokens(pa.array([t for _, t in rows]), lex):
         assert r.own.all() and np.all(moved[np.setdiff1d(r.ids, [lex.end])] > 1e-5)
+
+
+def test_trained_model_beats_a_unigram_with_the_same_spelling(spark):
+    """On documents that it has not seen, per token; both give every text a probability."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mean = lambda rounds: lm_scoring.score(docs, rounds).where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert mean(lm_scoring.ROUNDS) > mean(0) + 0.15

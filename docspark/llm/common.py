@@ -47,6 +47,30 @@ def written(df: DataFrame, what: str, level: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(path: str):
+    """Arrow's file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+
+
+def store_file(path: str, content: bytes | bytearray | memoryview) -> None:
+    """Write a file from a task: under a temporary name, then moved, so that a task that dies or runs twice leaves one whole file."""
+    folder, name = path.rsplit("/", 1)
+    store, at = _at(folder)
+    store.create_dir(at, recursive=True)
+    temporary = f"{at}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(temporary) as f:
+        f.write(content)
+    store.move(temporary, f"{at}/{name}")
+
+
+def load_file(path: str) -> bytes:
+    store, at = _at(path)
+    with store.open_input_file(at) as f:
+        return f.read()
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is, so that the join shuffles."""
     n = df.count() if rows is None else rows

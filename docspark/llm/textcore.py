@@ -119,14 +119,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of true bytes that stay within one document: starts, ends, first run of each document."""
+def runs(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of true bytes that stay within one document and cross no cut: starts, ends, first run of each document."""
     n = len(inside)
     if n == 0:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(offsets), np.int64)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     before = np.concatenate(([False], inside[:-1]))
     after = np.concatenate((inside[1:], [False]))
     start = np.flatnonzero(inside & (~before | edge[:-1]))
@@ -145,9 +147,16 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mix(h + U(seed) + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def words(s: Slice, lower: bool = True, separators: np.ndarray = BLANK) -> Words:
+#: First bytes of the three-byte characters from U+3000 on: most scripts that are written without blanks.
+UNSPACED = np.zeros(256, bool)
+UNSPACED[0xE3:0xEE] = True
+
+
+def words(s: Slice, lower: bool = True, separators: np.ndarray = BLANK, alone: bool = False) -> Words:
+    """Runs of bytes other than separators; ``alone``: characters of unspaced scripts are a word each."""
     data = LOWER[s.data] if lower else s.data
-    start, end, first = runs(~separators[data], s.offsets)
+    at = np.flatnonzero(UNSPACED[data]) if alone else None
+    start, end, first = runs(~separators[data], s.offsets, np.concatenate((at, at + 3)) if alone else None)
     return Words(start, end, span_hashes(data, start, end), first)
 
 

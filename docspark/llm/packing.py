@@ -1,10 +1,9 @@
 """Packing along a space-filling curve.
 
 A document's tokens are counted into a hashed vector, which a fixed random matrix projects to four dimensions; the
-Hilbert key of that point orders the documents (ties by row), so neighbours on the curve have similar vocabulary.  Packing
+Hilbert key of that point orders the documents (ties by doc_id, then row), so neighbours on the curve have similar vocabulary.  Packing
 lays the documents end to end in that order and cuts every ``size`` tokens: only the very last sequence has padding.
-Positions come from a prefix sum in two levels: running sums inside range partitions, and the partitions' totals,
-of which there are as many as partitions.
+Positions come from a prefix sum in two levels (``placing``); tokens are neither shuffled nor joined.
 
 Null texts are empty: one piece with the end id.  Repeated rows are packed once each.  Empty table: no pieces.  Rows with null
 doc_id are packed with a null id.  Extra columns are not read.
@@ -14,14 +13,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import arrow_map, small, spread, written
+from docspark.llm.common import arrow_map, spread, written
+from docspark.llm.placing import placed
 from docspark.llm.tokens import Vocabulary, byte_bpe_50k, encode
 
 SIZE = 1024
@@ -87,34 +86,11 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return written(made.withColumn("row", F.monotonically_increasing_id()), "tokens", 3)
 
 
-def positions(tokens: DataFrame) -> DataFrame:
-    """row and first: the place of each row's first token when all rows are laid end to end along the curve."""
-    ordered = tokens.select("curve", "row", "n_tokens").repartitionByRange("curve", "row").sortWithinPartitions("curve", "row")
-
-    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, total = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.column("n_tokens").to_numpy()
-            ends = total + np.cumsum(n)
-            if len(n):
-                total = int(ends[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), b.column("row"), pa.array(ends - n), pa.array(n)], names=["part", "row", "local", "n"])
-
-    local = written(ordered.mapInArrow(running, "part long, row long, local long, n long"), "positions")
-    totals = sorted((r.part, r.n) for r in local.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    bases = list(accumulate((n for _, n in totals), initial=0))
-    base = local.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, bases, strict=False)], "part long, base long")
-    return local.join(F.broadcast(base), "part").select("row", (F.col("local") + F.col("base")).alias("first"))
-
-
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: Vocabulary | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (uint32, little-endian)."""
     vocabulary = vocabulary or byte_bpe_50k()
     tokens = tokenized(docs, vocabulary)
-    placed = positions(tokens)
-    joined = tokens.select("row", "doc_id", "ids").join(small(placed), "row").select("doc_id", "ids", "first")
+    place, _ = placed(tokens, ["curve", "doc_id"])
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     fields = [(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")]
     wide = vocabulary_width(vocabulary)
@@ -122,8 +98,9 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: Vocabulary | None = None
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, raw, first in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = np.frombuffer(raw, wide).astype("<u4")
+            firsts = place(b.column("row").to_numpy()).tolist()
+            for doc, raw, first in zip(b.column("doc_id").to_pylist(), b.column("ids"), firsts, strict=True):
+                ids = np.frombuffer(raw.as_buffer(), wide).astype("<u4")
                 n, at, view = len(ids), 0, memoryview(ids).cast("B")
                 while at < n:
                     take = min(n - at, size - (first + at) % size)
@@ -133,7 +110,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: Vocabulary | None = None
             cols = zip(*out, strict=True) if out else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
 
-    return joined.mapInArrow(cut, schema)
+    return tokens.select("row", "doc_id", "ids").mapInArrow(cut, schema)
 
 
 def vocabulary_width(v: Vocabulary) -> str:

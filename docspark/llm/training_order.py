@@ -1,30 +1,31 @@
 """Training-order materialisation: fixed-stride token shards in a keyed random order.
 
-Documents are laid end to end within each input task (each closed by the end id) and cut into sequences of ``size`` ids; the last one of
-a task is padded.  With N sequences in all, a keyed Feistel network over the smallest even-bit domain that holds N, walked along its
+Documents are laid end to end, by doc_id and then by a hash of their ids (each closed by the end id), and cut into sequences of ``size``
+ids; only the very last one is padded.  Places are prefix sums in two levels (``placing``), so sequences, slots and shards follow from the
+rows alone, not from partitions or cores.  With N sequences in all, a keyed Feistel network over the smallest even-bit domain that holds N, walked along its
 cycle until it lands below N, gives every sequence a global slot: a permutation that no one has to store.  Slots are dealt by range:
-shard k holds slots k * per_shard and on, slot s stands at byte (s mod per_shard) * stride of its file.  Rows travel to their shard
-as compressed blocks.  A shard is written under a temporary name and then moved, so a task that dies or runs twice leaves one whole file.
+shard k holds slots k * per_shard and on, slot s stands at byte (s mod per_shard) * stride of its file.  Pieces of
+documents travel to their shard as compressed blocks; a task writes one shard after another.  A shard is written under a temporary name and then moved, so a task that dies or runs twice leaves one whole file.
 
 ``read_slots`` continues a run at any slot: it seeks to it and reads on across shards.
 
-Null texts are empty (one end id).  Repeated rows are written once each.  Empty table: no shards.  Extra columns are not read.
+Null texts are empty (one end id).  Null doc_ids come first.  Repeated rows are written once each.  Empty table: no shards.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import new_path, spread, written
+from docspark.llm.common import arrow_map, new_path, spread, store_file, written
+from docspark.llm.placing import placed
 from docspark.llm.textcore import U, mix
 from docspark.llm.tokens import Vocabulary, byte_bpe_50k, encode, encoder
 
@@ -34,6 +35,8 @@ PER_SHARD = 16_384
 ROUNDS = 6
 #: Sequences of a task that are dealt to shards together: larger blocks compress better.
 TOGETHER = 16_384
+#: Most tasks that write shards; beyond it a task writes several.
+MOST_TASKS = 4_096
 #: Of zstd, for what is written and sent on the way: sequences take most of the disk.
 LEVEL = 9
 
@@ -70,44 +73,20 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def sequences(docs: DataFrame, size: int, vocabulary: Vocabulary) -> DataFrame:
-    """part, number, n_tokens, doc_ids and ids of each sequence, written."""
-    fields = [("part", pa.int64()), ("number", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ids", pa.binary())]
+def tokenized(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """row, doc_id, key (hash of the text), n_tokens (with the end id) and ids of each document, written."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def run(texts: pa.Array) -> dict[str, object]:
+        out: dict[str, list] = {"key": [], "n_tokens": [], "ids": []}
+        for a in range(0, len(texts), 256):
+            for x in encode(texts.slice(a, 256), vocabulary):
+                out["n_tokens"].append(len(x))
+                out["ids"].append(x.tobytes())
+                out["key"].append(hashlib.blake2b(out["ids"][-1], digest_size=16).digest())
+        return {"key": pa.array(out["key"], pa.binary()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids": pa.array(out["ids"], pa.binary())}
 
-        part, number = TaskContext.get().partitionId(), 0
-        dtype = encoder(vocabulary).dtype
-        held, owners = np.zeros(0, dtype), np.zeros(0, np.int64)  # what doesn't fill a sequence yet; owner -1: no id
-
-        def cut(ids: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            nonlocal number
-            rows = []
-            for a in range(0, len(ids), size):
-                piece, who = ids[a : a + size], own[a : a + size]
-                at = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-                padded = np.zeros(size, dtype)
-                padded[: len(piece)] = piece
-                rows.append((part, number, len(piece), [None if x == -(2**63) else int(x) for x in who[at]], padded.tobytes()))
-                number += 1
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                doc_ids = b.column(0).slice(at, 512).to_pylist()
-                ids = encode(b.column(1).slice(at, 512), vocabulary)
-                held = np.concatenate((held, *ids))
-                owners = np.concatenate((owners, *(np.full(len(x), -(2**63) if d is None else d) for d, x in zip(doc_ids, ids, strict=True))))
-                whole = len(held) // size * size
-                if whole:
-                    yield cut(held[:whole], owners[:whole])
-                    held, owners = held[whole:], owners[whole:]
-        if len(held):
-            yield cut(held, owners)
-
-    schema = "part long, number long, n_tokens long, doc_ids array<long>, ids binary"
-    return written(spread(docs.select("doc_id", "text")).mapInArrow(run, schema), "sequences", LEVEL)
+    made = arrow_map(spread(docs.select("doc_id", "text")), "text", ["doc_id"], "key binary, n_tokens long, ids binary", run)
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "tokens", LEVEL)
 
 
 def materialise(docs: DataFrame, path: str, key: int = 1, size: int = SIZE, per_shard: int = PER_SHARD, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -118,41 +97,52 @@ def materialise(docs: DataFrame, path: str, key: int = 1, size: int = SIZE, per_
     spark = docs.sparkSession
     vocabulary = vocabulary or byte_bpe_50k()
     dtype = encoder(vocabulary).dtype
-    stride = size * dtype.itemsize
-    made = sequences(docs, size, vocabulary)
-    counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.count("*").alias("n")).collect())
-    bases = dict(zip([p for p, _ in counts], accumulate((n for _, n in counts), initial=0), strict=False))
-    total = sum(n for _, n in counts)
+    stride, wide = size * dtype.itemsize, dtype.itemsize
+    tokens = tokenized(docs, vocabulary)
+    place, ids = placed(tokens, ["doc_id", "key"])
+    total = -(-ids // size)
     shards = max(1, -(-total // per_shard))
+    tasks = min(shards, MOST_TASKS)
+    per_task = -(-shards // tasks)
     order = Feistel(total, key)
-    block = "shard int, meta binary, body binary"
+    piece = np.dtype([("slot", "<i8"), ("sequence", "<i8"), ("doc", "<i8"), ("null", "?"), ("offset", "<i4"), ("n", "<i4")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequences by shard, a compressed block for each shard and every ``TOGETHER`` sequences."""
+        """Pieces of documents by shard, a compressed block for each shard and about every ``TOGETHER`` sequences."""
         import zstandard
 
         z = zstandard.ZstdCompressor(LEVEL)
 
-        def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            b = pa.Table.from_batches(held).combine_chunks()
-            seq = b.column(1).to_numpy() + np.array([bases[p] for p in b.column(0).to_pylist()], np.int64)
-            slot = order.slot(seq)
-            n, docs_of, ids = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
-            by_shard = np.argsort(slot // per_shard, kind="stable")
+        def blocks(held: list[tuple[int, np.ndarray, int | None]]) -> pa.RecordBatch:
+            """``held``: first token's place, ids and doc_id of each document."""
+            n = np.array([len(x) for _, x, _ in held])
+            first, begin = np.array([f for f, _, _ in held]), np.concatenate(([0], np.cumsum(n)[:-1]))
+            everything = np.concatenate([x for _, x, _ in held])
+            parts = (first + n - 1) // size - first // size + 1
+            doc = np.repeat(np.arange(len(held)), parts)
+            sequence = first[doc] // size + np.arange(len(doc)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)
+            a, b = np.maximum(first[doc], sequence * size), np.minimum(first[doc] + n[doc], (sequence + 1) * size)
+            meta = np.zeros(len(doc), piece)
+            meta["slot"], meta["sequence"], meta["offset"], meta["n"] = order.slot(sequence), sequence, a - sequence * size, b - a
+            meta["doc"], meta["null"] = np.array([i or 0 for _, _, i in held])[doc], np.array([i is None for _, _, i in held])[doc]
+            at = begin[doc] + a - first[doc]
+            shard = meta["slot"] // per_shard
+            by_shard = np.argsort(shard, kind="stable")
             out = []
-            for at in np.split(by_shard, np.flatnonzero(np.diff((slot // per_shard)[by_shard])) + 1):
-                meta = json.dumps([(int(slot[i]), int(seq[i]), n[i], docs_of[i]) for i in at]).encode()
-                out.append((int(slot[at[0]] // per_shard), z.compress(meta), z.compress(b"".join(ids[i].as_py() for i in at.tolist()))))
+            for mine in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1):
+                body = np.concatenate([everything[at[i] : at[i] + meta["n"][i]] for i in mine])
+                out.append((int(shard[mine[0]]), z.compress(meta[mine].tobytes()), z.compress(body.tobytes())))
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "meta", "body"])
 
-        held, size = [], 0
+        held, n = [], 0
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-            if size >= TOGETHER:
+            first = place(b.column("row").to_numpy())
+            for f, x, i in zip(first.tolist(), b.column("ids"), b.column("doc_id").to_pylist(), strict=True):
+                held.append((f, np.frombuffer(x.as_buffer(), dtype), i))
+                n += len(held[-1][1])
+            if n >= TOGETHER * size:
                 yield blocks(held)
-                held, size = [], 0
+                held, n = [], 0
         if held:
             yield blocks(held)
 
@@ -160,36 +150,50 @@ def materialise(docs: DataFrame, path: str, key: int = 1, size: int = SIZE, per_
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All blocks of one shard arrive here: lay them out by slot, write the file, report the slots."""
+        """Blocks, shard after shard: lay each shard's pieces out by slot, write the file, report the slots."""
         import zstandard
-        from pyarrow import fs
 
         z = zstandard.ZstdDecompressor()
-        blank, found, shard = None, [], 0
-        for b in batches:
-            for k, meta, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if blank is None:
-                    shard = k
-                    blank = bytearray(min(per_shard, total - k * per_shard) * stride)
-                raw = z.decompress(body)
-                for i, (slot, seq, n, who) in enumerate(json.loads(z.decompress(meta))):
-                    at = (slot - shard * per_shard) * stride
-                    blank[at : at + stride] = raw[i * stride : (i + 1) * stride]
-                    found.append((slot, shard, at, seq, n, zlib.crc32(raw[i * stride : (i + 1) * stride]), who))
-        if blank is None:
-            return
-        store_, at = fs.FileSystem.from_uri(local_uri(path))
-        store_.create_dir(at, recursive=True)
-        name, temporary = f"{at}/shard-{shard:06d}.bin", f"{at}/.shard-{shard:06d}-{uuid.uuid4().hex}"
-        with store_.open_output_stream(temporary) as f:
-            f.write(memoryview(blank))
-        store_.move(temporary, name)
-        found.sort()
-        for i in range(0, len(found), 4096):
-            part = list(zip(*found[i : i + 4096], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(part, kinds, strict=True)], names=[x.split()[0] for x in rows.split(", ")])
-
-    dealt = made.mapInArrow(deal, block).repartitionById(shards, F.col("shard"))
+
+        def whole(shard: int, blank: bytearray, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            store_file(f"{path}/shard-{shard:06d}.bin", memoryview(blank))
+            meta = np.concatenate(found)
+            meta = meta[np.lexsort((meta["offset"], meta["slot"]))]
+            cuts = np.flatnonzero(np.diff(meta["slot"], prepend=-1))
+            n = np.add.reduceat(meta["n"], cuts).tolist()
+            slots, sequences = meta["slot"][cuts].tolist(), meta["sequence"][cuts].tolist()
+            owners = [None if x else int(i) for i, x in zip(meta["doc"], meta["null"], strict=True)]
+            ends, view, out = [*cuts[1:].tolist(), len(meta)], memoryview(blank), []
+            for a, b, slot, sequence, filled in zip(cuts.tolist(), ends, slots, sequences, n, strict=True):
+                at = (slot - shard * per_shard) * stride
+                out.append((slot, shard, at, sequence, filled, zlib.crc32(view[at : at + stride]), owners[a:b]))
+            for i in range(0, len(out), 4096):
+                part = list(zip(*out[i : i + 4096], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(part, kinds, strict=True)], names=[x.split()[0] for x in rows.split(", ")])
+
+        now, blank, found = -1, bytearray(), []
+        for batch in batches:
+            for shard, meta, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                shard = shard.as_py()
+                if shard != now:
+                    if found:
+                        yield from whole(now, blank, found)
+                    now, found = shard, []
+                    blank = bytearray(min(per_shard, total - shard * per_shard) * stride)
+                pieces = np.frombuffer(z.decompress(meta.as_buffer()), piece)
+                raw, at = z.decompress(body.as_buffer()), 0
+                to = (pieces["slot"] - shard * per_shard) * stride + pieces["offset"] * wide
+                for t, n in zip(to.tolist(), (pieces["n"] * wide).tolist(), strict=True):
+                    blank[t : t + n] = raw[at : at + n]
+                    at += n
+                found.append(pieces)
+        if found:
+            yield from whole(now, blank, found)
+
+    dealt = tokens.select("row", "doc_id", "ids").mapInArrow(deal, "shard int, meta binary, body binary")
+    # a shard's blocks stand together: several shards in a task are sorted, one needs no sorting
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") / per_task).cast("int"))
+    dealt = dealt.sortWithinPartitions("shard") if per_task > 1 else dealt
     slots = written(dealt.mapInArrow(store, rows), "slots")
     _manifest(spark, path, {"sequences": total, "size": size, "stride": stride, "per_shard": per_shard, "dtype": dtype.str, "key": key})
     return slots

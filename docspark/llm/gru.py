@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 
-HIDDEN, CLASSES, PER_CLASS = 24, 48, 48
+HIDDEN, CLASSES, PER_CLASS = 16, 40, 40
 TOKENS = CLASSES * PER_CLASS
 #: Tokens that backpropagation looks back, and documents side by side.
 WINDOW, STREAMS = 16, 256

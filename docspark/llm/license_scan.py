@@ -4,7 +4,7 @@ Words are runs of characters other than the ASCII separators of ``SEPARATOR``, w
 Every rolling K-gram of a document's words is hashed and joined to the positions where a template holds it (the templates are a fixed
 list, so their table is broadcast).  A match at document place p and template place t votes for the diagonal p - t; votes are counted per
 (document, template, diagonal), diagonals at most ``SLACK`` apart are merged into one span, and a span is verified by the share
-of the template's K-grams found on it, each counted once.  Verified spans give labels and a score; base labels come from fixed phrases and always stay.
+of the template's K-grams found on it, each counted once, and then by its words themselves.  Verified spans give labels and a score; base labels come from fixed phrases and always stay.
 
 Null or empty text: no words, no labels, score 0.  Repeated rows are scanned each.  Empty table: empty result.  The columns named in
 ``keep`` pass through; extra columns are not read.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import small, spread, written
-from docspark.llm.pii import prefix_sums
+from docspark.llm.native import let, sums_before
 
 # of the text as it stands: once A-Z are lower-cased, all of \x3A-\x60 are separators
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -83,8 +83,12 @@ def pieces(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     """Number of words; splitting takes a fraction of the time of counting matches."""
-    p = pieces(text)
-    return F.aggregate(F.transform(F.array(p), lambda p: F.size(p) - (F.get(p, F.lit(0)) == "").cast("int") - ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return let(pieces(text), lambda p: (F.size(p) - (F.get(p, F.lit(0)) == "").cast("int") - ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")).cast("long"))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, for comparing with ASCII words: of all other letters only the Kelvin sign becomes an ASCII one, so it is put aside."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -100,10 +104,11 @@ def base_places(text: Column) -> Column:
     """
 
     def places(phrase: str, label: str) -> Column:
-        parts = F.split(text, phrase_pattern(phrase), -1)
-        counts = F.transform(parts, count_words)
-        before = prefix_sums(F.slice(counts, F.lit(1), F.size(counts) - 1))  # each match takes its first word away
-        return F.transform(before, lambda b, i: F.struct(F.lit(label).alias("label"), (b + F.get(counts, i) + i).alias("place")))
+        def of(counts: Column, before: Column) -> Column:  # each match takes its first word away
+            return F.transform(F.slice(before, F.lit(1), F.size(before) - 1), lambda b, i: F.struct(F.lit(label).alias("label"), (b + F.get(counts, i) + i).alias("place")))
+
+        counts = F.transform(F.split(text, phrase_pattern(phrase), -1), count_words)
+        return let(counts, lambda c: let(sums_before(c), lambda before: of(c, before)))
 
     lower = F.lower(text)
 
@@ -133,7 +138,7 @@ def votes(docs: DataFrame, k: int = K) -> DataFrame:
     One row per (document, template, diagonal); ``found`` is the set of template places, of which a template has a fixed number.
     """
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.xxhash64(text).alias("__text"), pieces(F.lower(text)).alias("__pieces"))
+    df = docs.select("doc_id", F.xxhash64(text).alias("__text"), pieces(folded(text)).alias("__pieces"))
     df = df.select("doc_id", "__text", (F.get("__pieces", F.lit(0)) == "").cast("int").alias("__shift"), F.transform("__pieces", lambda w: F.xxhash64(w)).alias("__grams"))
     grams = _doubled(F.col("__grams"), k)
     df = df.select("doc_id", "__text", "__shift", grams.alias("__grams"))
@@ -177,12 +182,24 @@ def scan(docs: DataFrame, keep: list[str] | None = None, k: int = K, verified: f
         *keep,
         F.col("doc_id").alias("__id"),
         F.xxhash64(text).alias("__text"),
+        text.alias("__whole"),
         count_words(text).alias("n_words"),
         base_places(text).alias("base"),
     )
     same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash"))
     none = F.array().cast(found.schema["spans"].dataType)
-    return df.join(small(found), same, "left").select(*keep, "n_words", "base", F.coalesce("spans", none).alias("spans"))
+    words = F.filter(pieces(folded(F.col("__whole"))), lambda w: w != "")
+    held = let(words, lambda w: F.filter("spans", lambda s: _holds(w, s)))
+    df = df.join(small(found), same, "left")
+    return df.select(*keep, "n_words", "base", F.when(F.col("spans").isNotNull(), held).otherwise(none).alias("spans"))
+
+
+def _holds(words: Column, span: Column) -> Column:
+    """Whether a span's words, as they stand, hold the share ``VERIFIED`` of the template's distinct words."""
+    texts = [" ".join(sorted(set(template_words(t)))) for ts in TEMPLATES.values() for t in ts]
+    want = F.split(F.get(F.array(*map(F.lit, texts)), span["template"]), " ")
+    have = F.slice(words, (span["first"] + 1).cast("int"), (span["last"] - span["first"] + 1).cast("int"))
+    return F.size(F.array_intersect(want, have)) >= F.size(want) * VERIFIED
 
 
 def labels(base: Column, spans_: Column | None = None) -> Column:

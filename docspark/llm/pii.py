@@ -2,29 +2,36 @@
 
 Main path: DataFrame functions only.  Base spans are the leftmost matches of four patterns that pass their checks.  Around
 them stands a wider set of candidates: matches that failed a check, obfuscated addresses ("handle"), national numbers ("number") and
-long keys ("secret").  Five labelers vote on each candidate (1: personal, -1: not, 0: no opinion): pattern, gazetteer,
-context words, neighbouring characters, and variety of characters.  Votes are counted over all documents by pattern of votes, of which there are
+keys that are long or begin like one ("secret").  Five labelers vote on each candidate (1: personal, -1: not, 0: no opinion): pattern, gazetteer,
+context words (up to 40 characters before, no further than the last match of the kind; a bare number that nothing announces is voted against),
+neighbouring characters, and variety of characters (these two only vote against).  Votes are counted over all documents by pattern of votes, of which there are
 at most 7 * 3**5; expectation-maximisation over those counts estimates each labeler's reliability, and a logistic span classifier
 is fitted to the resulting probabilities.  It becomes one Spark expression.  Spans of the three further kinds that score at least
-``THRESHOLD``, have a vote of pattern, gazetteer or context in favour, and touch no base span are added; base spans always stay.
+``THRESHOLD`` and touch no base span are added; base spans always stay.
 
 Offsets are code points, ends exclusive.  Null or empty text: no spans.  Repeated rows are treated alike.  Empty table: empty result, a
-classifier that adds nothing.  Rows keep their columns as asked for; a column ``spans`` of the input must be dropped or renamed before.
+classifier that adds nothing.  Rows keep their columns as asked for; where one of them is called ``spans``, give the new column another name.
+
+The candidates of all texts are written once: votes are counted and spans are chosen from them.  Work grows in proportion to a text's length
+and matches: places are running sums, contexts come from the text between matches, overlaps from sorted spans.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import spread
+from docspark.llm.common import spread, written
+from docspark.llm.native import between, greatest_before, let, sums_before, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("handle", "number", "secret")
 LABELERS = ("pattern", "gazetteer", "context", "neighbours", "variety")
+#: Belief in each labeler beforehand, and the weight of that belief.
+BELIEF, PRIOR = (1.0, 1.0, 3.0, 0.5, 0.5), 0.25
 THRESHOLD = 0.9
 
 # Java forms of the patterns.  Possessive loops match the same strings as greedy ones here and keep no stack for long runs;
@@ -36,7 +43,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "handle": r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[a-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[a-z0-9-]++)++",
     "number": r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?:\G|(?<![A-Za-z0-9_]))[A-Za-z0-9_]{32,}+",
+    "secret": r"(?:\G|(?<![A-Za-z0-9_]))(?:xox[abprs]-[A-Za-z0-9-]{10,}+|AKIA[0-9A-Z]{16}(?![A-Za-z0-9_])|AIza[0-9A-Za-z_-]{35}|[sp]k_(?:live|test)_[A-Za-z0-9]{16,}+|[A-Za-z0-9_]{32,}+)",
 }
 #: A cheap test that every text with a match passes.
 PREFILTER = {
@@ -46,13 +53,13 @@ PREFILTER = {
     "phone": lambda t: F.contains(t, F.lit("+")),
     "handle": lambda t: t.rlike(r"(?i)[\[(]at[\])]"),
     "number": lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
-    "secret": lambda t: t.rlike(r"(?:\G|(?<![A-Za-z0-9_]))[A-Za-z0-9_]{32}"),
+    "secret": lambda t: t.rlike(r"(?:\G|(?<![A-Za-z0-9_]))(?:[A-Za-z0-9_]{32}|AKIA|AIza|xox[abprs]-|[sp]k_(?:live|test)_)"),
 }
 
 # Gazetteers and context words.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "us", "ca", "ch", "at", "it", "nl", "mx", "ar")
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "86", "91")
-KEY_PREFIXES = ("ghp_", "gho_", "sk_", "pk_", "AKIA", "xox", "AIza")
+KEY_PREFIXES = ("ghp_", "gho_", "sk_", "pk_", "AKIA", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza")
 CUES = {
     "email": ("mail", "contact", "correo", "adresse", "write to", "courriel"),
     "ip": ("ip", "host", "server", "address", "from"),
@@ -65,35 +72,33 @@ CUES = {
 COUNTER_CUES = ("isbn", "version", "invoice", "serial", "commit", "sha-", "sha1", "sha256", "md5", "checksum", "page", "doi")
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of longs, each without its own entry: sums of blocks first, so work stays near linear."""
-    size, block = F.size(values), 128
-    blocks = F.ceil(size / F.lit(block)).cast("int")
-    zero = F.lit(0).cast("long")
-    add = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
-    totals = F.transform(F.sequence(F.lit(1), blocks), lambda b: add(F.slice(values, (b - 1) * block + 1, F.lit(block))))
-    each = F.transform(
-        F.sequence(F.lit(1), blocks),
-        lambda b: F.transform(
-            F.sequence(F.lit(0), F.least(size - (b - 1) * block, F.lit(block)) - 1),
-            lambda i: add(F.slice(totals, F.lit(1), b - 1)) + add(F.slice(values, (b - 1) * block + 1, i)),
-        ),
-    )
-    return F.when(size > 0, F.flatten(each)).otherwise(F.array().cast("array<bigint>"))
+def matches(text: Column, kind: str, body: Callable[[Column, Column], Column], none: Column) -> Column:
+    """``body`` of the matches of a pattern in a text and the texts between them; ``none`` where there is no match."""
+    p = PATTERNS[kind]
+    some = lambda f: F.when(F.size(f) > 0, let(F.split(text, p, -1), lambda g: body(f, g))).otherwise(none)
+    return F.when(PREFILTER[kind](text), let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), some)).otherwise(none)
 
 
-def matches(text: Column, kind: str) -> tuple[Column, Column]:
-    """The matches of a pattern in a text, and the texts between them; empty arrays where the prefilter fails."""
-    p, test = F.lit(PATTERNS[kind]), PREFILTER[kind](text)
-    none = F.array().cast("array<string>")
-    return F.when(test, F.regexp_extract_all(text, p, F.lit(0))).otherwise(none), F.when(test, F.split(text, PATTERNS[kind], -1)).otherwise(none)
+def located(found: Column, gaps: Column) -> Column:
+    """array<struct<start, end, text, left, near>> from matches and the texts between them.
 
+    left: up to 40 characters before, back to the start of the match before; near: the characters next to it.
+    """
+    size = lambda c: F.char_length(c).cast("long")
 
-def located(found: Column, gaps: Column) -> Column:
-    """array<struct<start, end, text>> from matches and the texts between them."""
-    lengths = F.transform(found, lambda m, i: (F.char_length(m) + F.char_length(F.get(gaps, i))).cast("long"))
-    starts = F.arrays_zip(found.alias("text"), F.transform(prefix_sums(lengths), lambda x, i: x + F.char_length(F.get(gaps, i))).alias("start"))
-    return F.transform(starts, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["text"])).alias("end"), x["text"].alias("text")))
+    def one(before: Column) -> Callable[[Column, Column], Column]:
+        def at(m: Column, i: Column) -> Column:
+            left = F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(40))
+            after = F.get(gaps, i + 1)
+            after = F.when(after == "", F.coalesce(F.get(found, i + 1), F.lit(""))).otherwise(after)
+            near = F.concat(F.right(left, F.lit(1)), F.substring(after, 1, 1))
+            start = F.get(before, i) + size(F.get(gaps, i))
+            return F.struct(start.alias("start"), (start + size(m)).alias("end"), m.alias("text"), left.alias("left"), near.alias("near"))
+
+        return at
+
+    lengths = F.transform(found, lambda m, i: size(m) + size(F.get(gaps, i)))
+    return let(sums_before(lengths), lambda before: F.transform(found, one(before)))
 
 
 def valid(kind: str, m: Column) -> Column:
@@ -112,11 +117,9 @@ def _any_of(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("(?i)" + "|".join(w.replace(".", r"\.") for w in words))
 
 
-def votes(kind: str, text: Column, s: Column) -> list[Column]:
+def votes(kind: str, s: Column) -> list[Column]:
     """The labelers' votes on a located candidate, in the order of LABELERS."""
-    m = s["text"]
-    left = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)).cast("int"), F.least(s["start"], F.lit(40)).cast("int"))
-    near = F.concat(F.right(left, F.lit(1)), F.substring(text, (s["end"] + 1).cast("int"), F.lit(1)))
+    m, left, near = s["text"], s["left"], s["near"]
     vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0).cast("tinyint")
     domain = rf"(?i)[.\])] ?(?:{'|'.join(TOP_DOMAINS)})$"
     if kind in KINDS:
@@ -136,41 +139,35 @@ def votes(kind: str, text: Column, s: Column) -> list[Column]:
         "number": vote(m.rlike(r"^\(?[2-9]"), m.rlike(r"^\(?[01]")),
         "secret": vote(m.rlike(f"^(?:{'|'.join(KEY_PREFIXES)})")),
     }[kind]
-    context = vote(_any_of(left, CUES[kind]), _any_of(left, COUNTER_CUES))
-    neighbours = vote(~near.rlike("[A-Za-z0-9_@]"), near.rlike("[A-Za-z0-9_@]"))
+    context = vote(_any_of(left, CUES[kind]), F.lit(True) if kind == "number" else _any_of(left, COUNTER_CUES))
+    neighbours = vote(F.lit(False), near.rlike("[A-Za-z0-9_@]"))
     several = F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^A-Za-z0-9]+", ""), ""))) - 1
     least = {"email": 3, "handle": 3, "ip": 2, "card": 4, "phone": 4, "number": 4, "secret": 8}[kind]
-    return [pattern, gazetteer, context, neighbours, vote(several >= least, several < least)]
+    return [pattern, gazetteer, context, neighbours, vote(F.lit(False), several < least)]
 
 
-def _candidates(text: Column, kind: str, place: Column) -> Column:
+def _candidates(text: Column, kind: str) -> Column:
     def one(s: Column) -> Column:
-        v = dict(zip(LABELERS, votes(kind, text, s), strict=True))
+        v = dict(zip(LABELERS, votes(kind, s), strict=True))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(v[x].alias(x) for x in LABELERS))
 
-    return F.transform(place, one)
+    none = F.array().cast(f"array<struct<kind: string, start: bigint, end: bigint, {', '.join(f'{x}: tinyint' for x in LABELERS)}>>")
+    return matches(text, kind, lambda f, g: F.transform(located(f, g), one), none)
 
 
-def with_candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Kept columns, and ``__c_<kind>``: the candidates of each kind with their votes."""
+def candidates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Kept columns (doc_id if none are named), and ``__c_<kind>``: the candidates of each kind with their votes; written."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select(*keep, text.alias("__text"))
-    kinds = KINDS + MORE_KINDS
-    pairs = {k: matches(F.col("__text"), k) for k in kinds}
-    df = df.select("*", *(p.alias(f"__m_{k}") for k, (p, _) in pairs.items()))
-    df = df.select("*", *(F.when(F.size(f"__m_{k}") > 0, g).otherwise(F.array().cast("array<string>")).alias(f"__g_{k}") for k, (_, g) in pairs.items()))
-    df = df.select(*keep, "__text", *(located(F.col(f"__m_{k}"), F.col(f"__g_{k}")).alias(f"__l_{k}") for k in kinds))
-    return df.select(*keep, "__text", *(_candidates(F.col("__text"), k, F.col(f"__l_{k}")).alias(f"__c_{k}") for k in kinds))
+    made = spread(docs).select(*(keep or ["doc_id"]), *(_candidates(text, k).alias(f"__c_{k}") for k in KINDS + MORE_KINDS))
+    return written(made, "candidates")
 
 
 Pattern = tuple[str, tuple[int, ...]]
 
 
-def vote_counts(docs: DataFrame) -> dict[Pattern, int]:
-    """How often each pattern of votes occurs, over all documents."""
-    c = with_candidates(spread(docs), [])
-    # outer: else a filter is inferred that takes every text apart a second time
-    each = c.select(F.explode_outer(F.concat(*(f"__c_{k}" for k in KINDS + MORE_KINDS))).alias("c")).where("c is not null")
+def vote_counts(found: DataFrame) -> dict[Pattern, int]:
+    """How often each pattern of votes occurs, over all candidates."""
+    each = found.select(F.explode(F.concat(*(f"__c_{k}" for k in KINDS + MORE_KINDS))).alias("c"))
     rows = each.groupBy("c.kind", *(f"c.{x}" for x in LABELERS)).count().collect()
     return {(r["kind"], tuple(r[x] for x in LABELERS)): r["count"] for r in rows}
 
@@ -178,13 +175,15 @@ def vote_counts(docs: DataFrame) -> dict[Pattern, int]:
 def estimate(counts: dict[Pattern, int], rounds: int = 100) -> dict[Pattern, float]:
     """Probability of each pattern of votes to be personal data, by expectation-maximisation.
 
-    Labelers are independent given the truth; each has a table of votes per truth, smoothed by one pseudo-vote that
-    favours agreement, and each kind has its own share of personal data.
+    Labelers are independent given the truth; each has a table of votes per truth, and each kind has its own share of personal data.
+    ``BELIEF`` says how far a labeler is trusted beforehand: it weighs the votes that the first probabilities rest on, and the pseudo-votes
+    that favour agreement, which count ``PRIOR`` as much as the real ones.
     """
-    p = {k: min(max(0.5 + 0.18 * sum(k[1]), 0.02), 0.98) for k in counts}
+    p = {k: min(max(0.5 + 0.18 * sum(b * x for b, x in zip(BELIEF, k[1], strict=True)), 0.02), 0.98) for k in counts}
+    pseudo = 1 + PRIOR * sum(counts.values())
     for _ in range(rounds):
         prior: dict[str, list[float]] = {}
-        table = [[{-1: 0.6 - 0.4 * y, 0: 1.0, 1: 0.2 + 0.4 * y} for y in (0, 1)] for _ in LABELERS]
+        table = [[{-1: pseudo * 4 ** -(b * y), 0: pseudo, 1: pseudo * 4 ** -(b * (1 - y))} for y in (0, 1)] for b in BELIEF]
         for (kind, v), n in counts.items():
             q = p[kind, v]
             share = prior.setdefault(kind, [1.0, 1.0])
@@ -225,9 +224,9 @@ def train(counts: dict[Pattern, int], p: dict[Pattern, float], steps: int = 400,
     return w
 
 
-def fit(docs: DataFrame) -> list[float]:
-    """The span classifier for these documents; an empty list, which adds nothing, where there are no candidates."""
-    counts = vote_counts(docs)
+def fit(found: DataFrame) -> list[float]:
+    """The span classifier for these candidates; an empty list, which adds nothing, where there are none."""
+    counts = vote_counts(found)
     return train(counts, estimate(counts)) if counts else []
 
 
@@ -239,13 +238,11 @@ def _score(kind: str, c: Column, w: list[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def find(docs: DataFrame, model: list[float], keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Kept columns (doc_id if none are named) and spans: array<struct<kind, start, end, base, score>>.
+def find(found: DataFrame, model: list[float], keep: list[str] | None = None, threshold: float = THRESHOLD, name: str = "spans") -> DataFrame:
+    """Kept columns (doc_id if none are named) and ``name``: array<struct<kind, start, end, base, score>>, from candidates.
 
     Base spans stand first, kind by kind as in KINDS, then those that the classifier adds, kind by kind as in MORE_KINDS; each kind in order.
     """
-    keep = keep or ["doc_id"]
-    df = with_candidates(spread(docs), keep)
 
     def span(kind: str, c: Column, base: bool) -> Column:
         score = F.lit(1.0) if base else _score(kind, c, model)
@@ -254,20 +251,34 @@ def find(docs: DataFrame, model: list[float], keep: list[str] | None = None, thr
     def base_of(kind: str) -> Column:
         return F.transform(F.filter(f"__c_{kind}", lambda c: c["pattern"] == 1), lambda c: span(kind, c, True))
 
+    def more_of(kind: str) -> Column:
+        return F.filter(F.transform(f"__c_{kind}", lambda c: span(kind, c, False)), lambda s: s["score"] >= threshold)
+
     base = F.concat(*map(base_of, KINDS))
-    df = df.withColumn("__base", base)
-    if not model:
-        return df.select(*keep, F.col("__base").alias("spans"))
+    spans = let(base, lambda b: F.concat(b, _free(b, F.concat(*map(more_of, MORE_KINDS))))) if model else base
+    return found.select(*(keep or ["doc_id"]), spans.alias(name))
 
-    def wanted(kind: str, c: Column) -> Column:
-        free = ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        sure = (c["context"] == 1) if kind == "number" else (c["pattern"] == 1) | (c["gazetteer"] == 1) | (c["context"] == 1)
-        return sure & (_score(kind, c, model) >= threshold) & free
 
-    def more_of(kind: str) -> Column:
-        return F.transform(F.filter(f"__c_{kind}", lambda c: wanted(kind, c)), lambda c: span(kind, c, False))
+def detect(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, name: str = "spans") -> DataFrame:
+    """``find`` with a classifier fitted to the same documents, whose texts are read once."""
+    found = candidates(docs, keep)
+    return find(found, fit(found), keep, threshold, name)
+
 
-    return df.select(*keep, F.concat("__base", *map(more_of, MORE_KINDS)).alias("spans"))
+def _free(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that touch none of ``base``, kind by kind: all are sorted, then compared with the furthest base end before and the next base start after."""
+    far = 2**62
+
+    def chosen(all_: Column) -> Column:
+        end = greatest_before(F.transform(all_, lambda x: F.when(x["s"]["base"], x["s"]["end"]).otherwise(-1)), -1)
+        start = greatest_before(F.reverse(F.transform(all_, lambda x: F.when(x["s"]["base"], -x["s"]["start"]).otherwise(-far))), -far)
+        kept = lambda e, n: F.filter(all_, lambda x, i: ~x["s"]["base"] & (F.get(e, i) <= x["s"]["start"]) & (-F.get(n, i) >= x["s"]["end"]))
+        return let(end, lambda e: let(F.reverse(start), lambda n: F.transform(kept(e, n), lambda x: x["s"])))
+
+    placed = F.array_sort(F.transform(F.concat(base, more), lambda s: F.struct(s["start"].alias("start"), (~s["base"]).alias("more"), s.alias("s"))))
+    of_kind = lambda a, k: F.filter(a, lambda s: s["kind"] == k)
+    by_kind = lambda a: F.concat(*(of_kind(a, k) for k in MORE_KINDS))
+    return let(more, lambda m: F.when(F.size(m) > 0, let(let(placed, chosen), by_kind)).otherwise(m))
 
 
 def count_base(spans: Column, kind: str) -> Column:
@@ -282,13 +293,16 @@ def spans_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; spans that overlap become one, named after the first."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def done(ordered: Column, blocks: Column, reached: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            new = F.concat(between(blocks, F.get(reached, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= F.get(reached, i), new).otherwise("")
+
+        rest = between(blocks, F.array_max(F.transform(ordered, lambda s: s["end"])), F.char_length(text).cast("long"))
+        return F.concat(F.array_join(F.transform(ordered, piece), ""), rest)
 
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ends = lambda o: greatest_before(F.transform(o, lambda s: s["end"]), 0)
+    new = let(placed, lambda o: let(text_blocks(text), lambda b: let(ends(o), lambda r: done(o, b, r))))
+    return F.when(F.size(spans) > 0, new).otherwise(text)

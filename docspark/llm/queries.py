@@ -12,8 +12,7 @@ from docspark.llm.common import crc_of_id, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = pii.find(docs, pii.fit(docs))
+    found = pii.detect(table(spark, sf_dir, "documents"))
     count = [pii.count_base(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS]
     base = pii.spans_text(F.filter("spans", lambda s: s["base"]))
     return found.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))

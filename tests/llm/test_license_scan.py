@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from docspark.llm import license_scan, queries
 
@@ -86,3 +89,18 @@ def test_spans_equal_plain_python(spark):
     for r in got:
         assert [tuple(s)[:4] for s in r.spans] == [s[:4] for s in brute_spans(words(r.text))]
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_work_is_linear_in_a_texts_matches(spark, tmp_path):
+    n = 100_000
+    spark.createDataFrame([(1, "under the MIT license, é " * n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    r = queries.op3_license_scan(spark, str(tmp_path)).first()
+    assert time.monotonic() - began < 90
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (5 * n, n, 0, 5 * n - 5, "mit")
+
+
+def test_only_ascii_letters_are_folded(spark):
+    rows = [(1, "Lice\u0130nsed under the \u212aelvin License"), (2, "TEXT IS AVAILABLE UNDER THE CREATIVE COMMONS ATTRIBUTION-SHAREALIKE LICENSE")]
+    got = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", license_scan.pieces(license_scan.folded(F.col("text"))).alias("w")).collect()
+    assert "kelvin" not in got[0].w and got[1].w == words(rows[1][1])

@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced; n_chars follows the new text."""
-    found = pii.find(docs, pii.fit(docs), COLUMNS)
+    found = pii.detect(docs, COLUMNS)
     changed = F.size("spans") > 0
     done = found.withColumn("text", pii.redact(F.col("text"), F.col("spans")))
     return done.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

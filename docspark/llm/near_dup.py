@@ -13,12 +13,15 @@ nothing).  Documents with ``100 * |A & B| >= 75 * |A | B|`` are linked, and a co
    two members of different components that share a shingle in their prefixes (the part that a similar pair must share) are verified.
 
 All links are confirmed on full sets (48 bits of each shingle hash).  Components are merged by hooking on contracted graphs, on the
-cluster.  Repeated rows: rows with one doc_id are one document.  Null doc_id: linked with nothing, kept.  Null text: empty.
+cluster.  Rows with one doc_id are one document: it has the links of all their texts, in any order of rows.  Exact classes rest on the
+fingerprint alone, whose parts are two sums of 64 bits over the set, and on its size.  Null doc_id: linked with nothing, kept.  Null text: empty.
 Empty table: empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -201,16 +204,16 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = unpack_set(packed)
+                v, own = unpack_set(packed), zlib.crc32(packed)
                 for i in range(0, len(v), 100_000):
                     part = v[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep, np.int64)), pa.array(np.full(len(part), len(v), np.int64)), pa.array(part)], names=["rep", "n", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x, np.int64)) for x in (rep, own, len(v))] + [pa.array(part)], names=["rep", "own", "n", "value"])
 
-    each = written(sets.select("rep", "shingles").mapInArrow(exploded, "rep long, n long, value long"), "shingles")
+    each = written(sets.select("rep", "shingles").mapInArrow(exploded, "rep long, own long, n long, value long"), "shingles")
     # written before they are joined: a join that stands alone can split a shingle that thousands of documents share
     often = written(each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
     shared = each.join(small(often), "value")
-    by_rep = Window.partitionBy("rep")
+    by_rep = Window.partitionBy("rep", "own", "n")  # a document of several rows has several sets
     ranked = shared.withColumns({
         "s": F.count("*").over(by_rep),
         "rank": F.row_number().over(by_rep.orderBy("df", "value")),
@@ -219,21 +222,33 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
     prefix = ranked.withColumn("place", F.col("rank") + F.col("n") - F.col("s"))
     prefix = prefix.where(f"place <= n - cast(ceil({LEAST} * n / {OVER}D) as long) + 1").select("value", "rep", "n", "s", "place")
     prefix = written(_with_comp(prefix, "rep", comp, "comp"), "prefixes")
-    sizes = prefix.groupBy("value", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    main = written(main.select("value", "main"), "main")
-    live = written(prefix.join(small(main), "value"), "live")
-    minor = live.where("comp <> main").select("value", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "s", "comp", "place")))
+    # the shorter set of a linked pair shares so much of itself that a part of its prefix is enough, and the other is at most 4/3 as long:
+    # so it looks among the prefixes of sets of its band of lengths and of the next
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(OVER / LEAST)) + 1e-9).cast("int")
+    longer = prefix.withColumn("band", band)
+    enough = F.ceil(F.lit(2.0 * LEAST / (OVER + LEAST)) * F.col("n") - 1e-9)
+    shorter = prefix.where(F.col("place") <= F.col("n") - enough + 1).withColumn("band", F.explode(F.array(band, band + 1)))
+    keys = ["value", "band"]
+    sizes = longer.select(*keys, "comp").unionAll(shorter.select(*keys, "comp")).groupBy(*keys, "comp").agg(F.count("*").alias("m"))
+    main = sizes.groupBy(*keys).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    main = written(main.select(*keys, "main"), "main")
+    # written before they are joined: a join that stands alone can split a value and band that thousands of sets share
+    longer = written(longer.join(small(main), keys), "longer")
+    shorter = written(shorter.join(small(main), keys), "shorter")
+    tagged = shorter.select(*keys, "main", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "s", "comp", "place")))
     needed = F.ceil(LEAST * (F.col("n") + F.col("n_")) / F.lit(float(OVER + LEAST)) - 1e-9)  # shared shingles of a linked pair
     close = (
         (F.col("comp") != F.col("comp_"))
-        & (OVER * F.least("n", "n_") >= LEAST * F.greatest("n", "n_"))
+        & ((F.col("n_") < F.col("n")) | ((F.col("n_") == F.col("n")) & (F.col("rep_") != F.col("rep"))))
+        & (OVER * F.col("n_") >= LEAST * F.col("n"))
         & (F.least("s", "s_") >= needed)
         # the first shingle that a linked pair shares has at least this many shared ones from there on
         & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) + 1 >= needed)
-        & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("rep_")))
     )
-    both = live.join(small(minor), ["value"]).where(close)
+    # of a value's largest component no two members are paired
+    minor = tagged.where("comp_ <> main").drop("main")
+    major = tagged.where("comp_ = main").drop("main")
+    both = longer.join(minor, keys).where(close).unionByName(longer.where("comp <> main").join(major, keys).where(close))
     return both.select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b")).distinct()
 
 
@@ -244,12 +259,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = first.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.where("copies > 1").select("f1", "f2", "n_shingles", "rep"), "classes")
-    classes = small(classes)
     keys = ["f1", "f2", "n_shingles"]
-    others = written(filled.join(classes, keys).where("doc_id <> rep").select("doc_id", "rep"), "copies")
-    copies = others.select("doc_id").distinct()
-
-    reps = filled.join(small(copies), "doc_id", "left_anti")
+    others = written(filled.join(small(classes), keys).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    # documents of several rows with other texts: nodes of their own, linked to the class of each text
+    several = written(filled.select("doc_id", *keys).distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    ambiguous = others.join(small(several), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    named = filled.join(small(classes), keys, "left")
+    alone = named.where("rep is null").select("doc_id", "bands")
+    first_of = named.where("rep = doc_id").dropDuplicates(["doc_id", *keys]).select("doc_id", "bands")  # equal sets have equal bands
+    reps = alone.unionByName(first_of)
     rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(rows.join(sizes, "key"), "buckets")  # only what meets another
@@ -259,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small(needed), "rep", "left_semi")
     sets = written(arrow_map(spread(texts), "text", ["rep"], "shingles binary", _packed), "sets")
     if sets.count() != needed.count():  # rows that share a doc_id; else no aggregate stands before the joins, and they can be split
-        sets = written(sets.dropDuplicates(["rep"]), "sets")
+        sets = written(sets.dropDuplicates(["rep", "shingles"]), "sets")
 
     central = members.groupBy("rep").agg(F.sum("size").alias("central"))
     bucket = members.join(central, "rep")
@@ -270,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most = max(b for _, b in STAR_ROUNDS)
     stars = written(stars.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most), "stars")
 
-    links: list[DataFrame] = []
+    links: list[DataFrame] = [] if ambiguous.isEmpty() else [written(ambiguous, "links")]
     comp: DataFrame | None = None
 
     def add(pairs: DataFrame) -> None:
@@ -288,7 +307,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     add(_prefix_pairs(sets.join(open_reps, "rep", "left_semi"), comp))
 
     changed = written(comp.where("node <> comp"), "components")
-    found = first.select("doc_id", "n_shingles").join(small(others.withColumnRenamed("rep", "__rep").dropDuplicates(["doc_id"])), "doc_id", "left")
+    copies = written(others.groupBy("doc_id").agg(F.min("rep").alias("__rep")), "copies")  # all classes of a document are in one component
+    found = first.select("doc_id", "n_shingles").join(small(copies), "doc_id", "left")
     found = found.withColumn("__rep", F.coalesce("__rep", "doc_id"))
     found = found.join(small(changed.select(F.col("node").alias("__rep"), F.col("comp").alias("__comp"))), "__rep", "left")
     named = found.withColumn("component_id", F.coalesce("__comp", "__rep"))

@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("handle", "number", "secret")
 LABELERS = ("pattern", "gazetteer", "context", "neighbours", "variety")
 #: Belief in each labeler beforehand, and the weight of that belief.
-BELIEF, PRIOR = (1.0, 1.0, 3.0, 0.5, 0.5), 0.25
+BELIEF, PRIOR = (1.0, 1.0, 3.0, 0.5, 0.5), 0.4
 THRESHOLD = 0.9
 
 # Java forms of the patterns.  Possessive loops match the same strings as greedy ones here and keep no stack for long runs;
@@ -175,7 +175,7 @@ def vote_counts(found: DataFrame) -> dict[Pattern, int]:
 def estimate(counts: dict[Pattern, int], rounds: int = 100) -> dict[Pattern, float]:
     """Probability of each pattern of votes to be personal data, by expectation-maximisation.
 
-    Labelers are independent given the truth; each has a table of votes per truth, and each kind has its own share of personal data.
+    Labelers are independent given the truth; each has a table of votes per truth, no opinion says nothing, and each kind has its own share of personal data.
     ``BELIEF`` says how far a labeler is trusted beforehand: it weighs the votes that the first probabilities rest on, and the pseudo-votes
     that favour agreement, which count ``PRIOR`` as much as the real ones.
     """
@@ -183,18 +183,21 @@ def estimate(counts: dict[Pattern, int], rounds: int = 100) -> dict[Pattern, flo
     pseudo = 1 + PRIOR * sum(counts.values())
     for _ in range(rounds):
         prior: dict[str, list[float]] = {}
-        table = [[{-1: pseudo * 4 ** -(b * y), 0: pseudo, 1: pseudo * 4 ** -(b * (1 - y))} for y in (0, 1)] for b in BELIEF]
+        table = [[{-1: pseudo * 4 ** -(b * y), 1: pseudo * 4 ** -(b * (1 - y))} for y in (0, 1)] for b in BELIEF]
         for (kind, v), n in counts.items():
             q = p[kind, v]
             share = prior.setdefault(kind, [1.0, 1.0])
             for y, w in ((0, 1 - q), (1, q)):
                 share[y] += n * w
                 for j, x in enumerate(v):
-                    table[j][y][x] += n * w
+                    if x:
+                        table[j][y][x] += n * w
         new = {}
         for kind, v in counts:
             score = math.log(prior[kind][1]) - math.log(prior[kind][0])
             for j, x in enumerate(v):
+                if not x:
+                    continue
                 score += math.log(table[j][1][x] / sum(table[j][1].values())) - math.log(table[j][0][x] / sum(table[j][0].values()))
             new[kind, v] = 1 / (1 + math.exp(-max(min(score, 30.0), -30.0)))
         moved = max((abs(new[k] - p[k]) for k in p), default=0.0)

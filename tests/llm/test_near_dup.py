@@ -90,3 +90,24 @@ def test_sets_match_plain_python():
         for c in np.diff(off):
             assert c == len(shingles(rows[at][1]))
             at += 1
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    """It has the links of all its texts, however rows are ordered."""
+    text = lambda k, n=12: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(7, text(1)), (7, text(2)), (9, text(1)), (8, text(2) + " more"), (5, text(3)), (6, text(3)), (6, text(4)), (10, text(4)), (11, text(5)), (12, text(4, 13))]
+    want = {7: 7, 9: 7, 8: 7, 5: 5, 6: 5, 10: 5, 12: 5, 11: 11}
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        got = n.near_duplicates(spark.createDataFrame(mixed, "doc_id long, text string").repartition(seed + 1)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+
+
+def test_boilerplate_of_many_documents_makes_few_pairs(spark):
+    """10,000 documents of one boilerplate, none similar to another: what is left to verify grows with them, not with their pairs."""
+    shared = " ".join(f"b{i}" for i in range(40))
+    rows = [(i, f"{shared} " + " ".join(f"u{i}x{j}" for j in range(10))) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = docs.select(docs.doc_id.alias("rep"), "text")
+    sets = n.arrow_map(sets, "text", ["rep"], "shingles binary", n._packed)
+    assert n._prefix_pairs(sets, None).count() <= len(rows)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docspark.operators import blocks as B
 from docspark.operators import chunking, context, evaluation, figures, models, sections
 from docspark.operators.reading_order import reading_order
+from docspark.sources.cache import kept
 
 Factories = dict[str, Callable[[], models.Client]] | None
 NO_RECTS = "doc_id long, page int, rect_ord int, x0 double, y0 double, x1 double, y1 double"
@@ -28,18 +29,24 @@ class Corpus:
         overlap_tokens: int = chunking.OVERLAP_TOKENS,
         base_url: str = "",
         keep_overlaps: bool = False,
+        stored: bool = False,
     ) -> None:
         none = blocks.sparkSession.createDataFrame([], NO_RECTS)
         self.raw, self.rasters, self.drawings = blocks, none if rasters is None else rasters, none if drawings is None else drawings
+        self.stored = stored
         self.max_tokens, self.overlap_tokens, self.base_url, self.keep_overlaps = max_tokens, overlap_tokens, base_url, keep_overlaps
 
+    def _kept(self, df: DataFrame, what: str) -> DataFrame:
+        """A table that several results read: written once where the corpus is ``stored``, else planned anew for each."""
+        return kept(df, what) if self.stored else df
+
     @cached_property
     def blocks(self) -> DataFrame:
         return B.classify(self.raw)
 
     @cached_property
     def ordered(self) -> DataFrame:
-        return reading_order(self.blocks, keep_overlaps=self.keep_overlaps)
+        return self._kept(reading_order(self.blocks, keep_overlaps=self.keep_overlaps), "ordered")
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -63,7 +70,7 @@ class Corpus:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return figures.figures_tables(self.page_regions, self.captions, self.base_url)
+        return self._kept(figures.figures_tables(self.page_regions, self.captions, self.base_url), "regions")
 
     @cached_property
     def pieces(self) -> DataFrame:
@@ -75,7 +82,7 @@ class Corpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunking.chunks(self.pieces, self.sections, self.max_tokens)
+        return self._kept(chunking.chunks(self.pieces, self.sections, self.max_tokens), "chunks")
 
     @cached_property
     def documents(self) -> DataFrame:

@@ -14,6 +14,16 @@ def _q(text: str) -> str:
     return "concat(" + ", chr(10), ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + ")" if "\n" in text else "'" + text.replace("'", "''") + "'"
 
 
+def _filled(template: str) -> str:
+    """SQL of a reply's template, filled in from each document."""
+    n, text = "length(coalesce(text, ''))", "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+    value = {"text": text, "section": f"{n} % 7", "figure": f"{n} % 13", "table": f"{n} % 11"}
+    for k in range(1, 8):
+        value[f"number{k}"] = f"concat(({n} + {k} * doc_id) % 5, '.', ['0', '25', '5', '75'][(doc_id + {k}) % 4 + 1])"
+        value[f"word{k}"] = f"string_split({text}, ' ')[({n} * {k}) % len(string_split({text}, ' ')) + 1]"
+    return "concat(" + ", ".join(value[x[1:-1]] if x[:1] == "<" else _q(x) for x in re.split("(<[a-z0-9]+>)", template) if x) + ")"
+
+
 BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 TOKENS = "greatest(1, len(regexp_extract_all({0}, '\\S+')) * 13 // 10)::BIGINT"
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -153,8 +163,8 @@ CTES |= {
     "keywords": """SELECT doc_id, rank, keyword, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank
       FROM (SELECT doc_id, keyword, count(*) AS n, min((chunk_ord, word_at)) AS f FROM keyed GROUP BY ALL)) WHERE rank <= 20""",
     "results": f"""SELECT doc_id, unnest([0, 1, 2, 3]) AS input_ord, unnest(['gemini:weak', 'openai:strong', 'deepseek:long', 'openai:bad']) AS model, unnest(['OK', 'OK', 'OK', 'ERROR']) AS status,
-      unnest([substr(text, 1, 120), concat({", chr(10), ".join(f"'{h}', chr(10), '- ', substr(text, {1 + 80 * k}, 80)" for k, h in enumerate(HEADERS))}), concat('## Limitations', chr(10), text, chr(10), text), NULL]) AS text FROM documents""",
-    "urls": "SELECT doc_id, [substr(text, 10, 6), 'http://none'] AS u FROM documents WHERE doc_id % 3 <> 0",
+      unnest([text, concat({", chr(10), ".join(f"'{h}', chr(10), '- ', coalesce(array_to_string([x FOR x, i IN string_split(text, chr(10)) IF (i - 1) % {len(HEADERS)} = {k}], concat(chr(10), '- ')), '')" for k, h in enumerate(HEADERS))}), concat('## Limitations', chr(10), text, chr(10), text), NULL]) AS text FROM documents""",
+    "urls": "SELECT doc_id, [w[len(w) // 2 + 1], 'http://none'] AS u FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE doc_id % 3 <> 0",
     "raw_scores": f"""SELECT r.doc_id, input_ord, model, status,
       CASE WHEN status <> 'OK' OR trim(text, {BLANK}) = '' THEN 0.0 ELSE ({" + ".join(f"(contains(text, '{h}'))::INT" for h in HEADERS)}) / 6.0::DOUBLE END::DOUBLE AS s,
       CASE WHEN status <> 'OK' OR trim(text, {BLANK}) = '' OR k.k IS NULL THEN 0.0 ELSE len(list_intersect(k.k, {NORMAL.format('text')})) / len(k.k)::DOUBLE END::DOUBLE AS c,
@@ -165,15 +175,15 @@ CTES |= {
     "scored": """SELECT doc_id, input_ord, model, status, round_even(s, 3) AS structure_score, round_even(c, 3) AS coverage_score, round_even(l, 3) AS length_score, round_even(f, 3) AS figure_score,
       round_even(((s * 0.35::DOUBLE + c * 0.40::DOUBLE + l * 0.15::DOUBLE + f * 0.10::DOUBLE) * 100)::DECIMAL(30, 15), 1)::DOUBLE AS overall_score FROM raw_scores""",
     "ranked": "SELECT doc_id, model, overall_score, row_number() OVER (PARTITION BY doc_id ORDER BY overall_score DESC, input_ord) AS rank FROM scored WHERE status = 'OK'",
-    "judge_json": f"SELECT doc_id, {_q(JUDGE_REPLY)} AS j FROM documents WHERE doc_id % 7 <> 0",
+    "judge_json": f"SELECT doc_id, {_filled(JUDGE_REPLY)} AS j FROM documents WHERE doc_id % 7 <> 0",
     "judged": """SELECT doc_id, i AS item_ord, trim(m) AS model, coalesce(f::DOUBLE, 0) AS factuality, coalesce(c::DOUBLE, 0) AS coverage, coalesce(cl::DOUBLE, 0) AS clarity, coalesce(u::DOUBLE, 0) AS usefulness,
       round_even(coalesce(o::DOUBLE, 0) * 20, 1) AS overall_score, trim(coalesce(r, '')) AS reason, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord
       FROM (SELECT doc_id, i, x->>'model' AS m, x->>'factuality' AS f, x->>'coverage' AS c, x->>'clarity' AS cl, x->>'usefulness' AS u, x->>'overall' AS o, x->>'reason' AS r
         FROM (SELECT doc_id, i, json_extract(j, '$.scores[' || i || ']') AS x FROM judge_json, range(5) t(i))) WHERE trim(m) <> ''""",
     "judge_ranked": "SELECT doc_id, model, overall_score, reason, row_number() OVER (PARTITION BY doc_id ORDER BY overall_score DESC, ord) AS rank FROM judged",
-    "replies": """SELECT doc_id, concat('intro', chr(10), '## One-Liner', chr(10), '- ', substr(text, 1, 30), chr(10), 'more', chr(10), '## Problem & Method', chr(10), '- ', substr(text, 1, 40),
-      ' [chunk_id: aaaabbbbcccc] [CHUNK_ID: 00112233aabb].', chr(10), '- ', chr(10), '* no bullet', chr(10), '- [chunk_id: aaaabbbbcccc]', chr(10), '## Unknown', chr(10), '- x', chr(10), '## Limitations', chr(10), '- first', chr(10),
-      '## Experiments and Results', chr(10), '  - ', substr(text, 41, 30), ', ', chr(10), '## limitations', chr(10), '- last [chunk_id:  0123456789ab] ;', chr(10)) AS text FROM documents""",
+    "replies": """SELECT doc_id, concat('intro', chr(10), '## One-Liner', chr(10), '- ', replace(text, chr(10), ' '), chr(10), 'more', chr(10), '## Problem & Method', chr(10), '- ', replace(text, chr(10), ' '),
+      ' [chunk_id: ', substr(sha256(concat('a', doc_id)), 1, 12), '] [CHUNK_ID: 00112233aabb].', chr(10), '- ', chr(10), '* no bullet', chr(10), '- [chunk_id: aaaabbbbcccc]', chr(10), '## Unknown', chr(10), '- x', chr(10), '## Limitations', chr(10), '- first', chr(10),
+      '## Experiments and Results', chr(10), '  - ', array_to_string(list_reverse(regexp_extract_all(replace(text, chr(10), ' '), '(?s).')), ''), ', ', chr(10), '## limitations', chr(10), '- last [chunk_id:  ', substr(sha256(concat('b', doc_id)), 1, 12), '] ;', chr(10)) AS text FROM documents""",
     "reply_lines": """SELECT *, count(*) FILTER (starts_with(line, '## ')) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM replies))""",
     "reply_keys": f"""SELECT doc_id, part, CASE lower(trim(substr(line, 4), {BLANK})) WHEN 'one-liner' THEN 'one_liner' WHEN 'one liner' THEN 'one_liner' WHEN 'problem & method' THEN 'problem_method' WHEN 'problem and method' THEN 'problem_method'
       WHEN 'experiments & results' THEN 'experiments' WHEN 'experiments and results' THEN 'experiments' WHEN 'limitations' THEN 'limitations' END AS key FROM reply_lines WHERE starts_with(line, '## ')""",
@@ -221,7 +231,7 @@ CTES |= {
       SELECT s.doc_id, s.section_ord, concat(chr(10), '[Section ', section_id, ': ', s.title, ' (level ', level, ')]', chr(10), trim(substr(coalesce(body, ''), 1, 400), {BLANK}), chr(10)) AS entry
       FROM secs s LEFT JOIN sketch_texts t ON t.doc_id = s.doc_id AND t.title = s.title)) WHERE total <= 3000
       UNION ALL SELECT doc_id, CASE kind WHEN 'figure' THEN 1 ELSE 2 END, region_ord, concat(chr(10), '[', label, '] ', caption, chr(10)) FROM figs""",
-    "sketch_json": f"SELECT doc_id, {_q(SKETCH_REPLY)} AS j FROM documents WHERE doc_id % 7 <> 0",
+    "sketch_json": f"SELECT doc_id, {_filled(SKETCH_REPLY)} AS j FROM documents WHERE doc_id % 7 <> 0",
 }
 
 _ORDER = ORDERS.split("{language}")
@@ -231,7 +241,7 @@ FINAL = {
     "approx_tokens": f"SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_words, {TOKENS.format('text')} AS tokens FROM documents",
     "sentence_split": f"SELECT doc_id, unnest(range(len(s)))::BIGINT AS ord, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents)",
     "normalize_words": f"SELECT doc_id, len(w)::BIGINT AS n, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {NORMAL.format('text')} AS w FROM documents)",
-    "label_slug": "SELECT doc_id, i, trim(regexp_replace(lower(substr(line, 1, 30)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM lines",
+    "label_slug": "SELECT doc_id, i, trim(regexp_replace(lower(line), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM lines",
     "split_by_tokens": f"""SELECT doc_id, unnest(range(len(o)))::BIGINT AS part, list_aggregate(list_slice(ss, unnest(o)[1] + 1, unnest(o)[2]), 'string_agg', ' ') AS text
       FROM (SELECT *, CASE WHEN len(sz) = 0 THEN [] ELSE list_append(st.o, [st.b, len(sz)]) END AS o FROM (SELECT *, {_pack('sz', 48, 16)} AS st
       FROM (SELECT *, list_transform(ss, lambda x: {TOKENS.format('x')}) AS sz FROM (SELECT *, {SENTENCES.format('text')} AS ss FROM documents))))""",

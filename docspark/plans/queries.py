@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import geometry, text
@@ -13,7 +13,7 @@ from docspark.operators import chunking, context, evaluation, figures, models, p
 from docspark.operators.reading_order import reading_order
 from docspark.plans.corpus import Corpus
 from docspark.sources import synthetic
-from docspark.sources.cache import ResultStore
+from docspark.sources.cache import ResultStore, kept, shared_dir
 from docspark.sources.html import html_blocks
 from docspark.sources.tables import by_document, documents, lines, spread, table
 
@@ -33,9 +33,11 @@ def query(f: Query) -> Query:
     return f
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def corpus(spark: SparkSession, sf_dir: str, stored: bool = False) -> Corpus:
+    """``stored``: for results that need several of the corpus's tables, so that documents are read once."""
     b = synthetic.blocks(by_document(spark, sf_dir))
-    return Corpus(b, synthetic.rasters(b), synthetic.drawings(b), MAX_TOKENS, OVERLAP, "http://host")
+    b = kept(b, "blocks") if stored else b
+    return Corpus(b, synthetic.rasters(b), synthetic.drawings(b), MAX_TOKENS, OVERLAP, "http://host", stored=stored)
 
 
 def line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,7 @@ def normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(documents(spark, sf_dir)).select("doc_id", "i", text.slug(F.substring("line", 1, 30)).alias("slug"))
+    return lines(documents(spark, sf_dir)).select("doc_id", "i", text.slug(F.col("line")).alias("slug"))
 
 
 @query
@@ -213,7 +215,7 @@ def figures_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def caption_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
+    c = corpus(spark, sf_dir, stored=True)
     return figures.caption_blocks(c.text_blocks, c.regions)
 
 
@@ -229,7 +231,7 @@ def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir).chunks
+    c = corpus(spark, sf_dir, stored=True).chunks
     return c.select("doc_id", "chunk_ord", "chunk_id", "chunk_type", "section_id", F.array_join("section_path", " > ").alias("path"), "page", "token_count", F.char_length("text").alias("chars"))
 
 
@@ -245,12 +247,12 @@ def cited_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sketch_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).sketch_context(3000)
+    return corpus(spark, sf_dir, stored=True).sketch_context(3000)
 
 
 @query
 def judge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).judge_context(1500)
+    return corpus(spark, sf_dir, stored=True).judge_context(1500)
 
 
 @query
@@ -321,9 +323,13 @@ def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.top_keywords(line_chunks(spark, sf_dir))
 
 
+def _middle(words: Column) -> Column:
+    return F.get(words, F.floor(F.size(words) / 2).cast("int"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = by_document(spark, sf_dir)
-    urls = docs.select("doc_id", F.lit("figure").alias("kind"), F.explode(F.array(F.substring("text", 10, 6), F.lit("http://none"))).alias("crop_url"))
+    urls = docs.select("doc_id", F.lit("figure").alias("kind"), F.explode(F.array(_middle(F.split("text", " ", -1)), F.lit("http://none"))).alias("crop_url"))
     return evaluation.heuristic(synthetic.results(docs), evaluation.top_keywords(line_chunks(spark, sf_dir)), urls.where("doc_id % 3 <> 0"))
 
 
@@ -391,7 +397,7 @@ def reference_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shared_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).shared_metrics()
+    return corpus(spark, sf_dir, stored=True).shared_metrics()
 
 
 MODELS = ["openai:gpt-4o-mini", " Gemini : flash ", "plain", "nowhere:x", "openai:fail", "openai: "]
@@ -439,11 +445,9 @@ def latency_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the documents' results are written first; then what is missing; read back, each document is there once."""
-    import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    store = ResultStore(spark, f"{shared.rstrip('/')}/results-{uuid.uuid4().hex}", max_tokens=128)
+    store = ResultStore(spark, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}", max_tokens=128)
     docs = documents(spark, sf_dir).withColumn("pdf_sha256", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256))
     result = lambda d: d.select("pdf_sha256", "doc_id", F.char_length("text").alias("chars"))
     store.save(result(docs.where("doc_id % 2 = 0")))
@@ -457,8 +461,3 @@ def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = [F.pmod(F.col("doc_id") * k, F.lit(256)).cast("string") for k in (1, 7, 13, 29)]
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(".", *parts).alias("address")).withColumn("private", private_address(F.col("address")))
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: documents to chunks with provenance."""
-    return QUERIES["chunk_documents"](spark, sf_dir)

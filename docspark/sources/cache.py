@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that all executors share: spark.checkpoint.dir; a session on one machine (tests) gets one of its own where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        of = context._jsc.sc().getCheckpointDir()
+        if of.isDefined():
+            return of.get().rstrip("/")
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="docspark-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: made once, however often they are read."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class ResultStore:
     """A Parquet folder of results keyed by pdf_sha256, one subfolder per set of parameters.
 

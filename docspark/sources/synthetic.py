@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.operators.blocks import block_id
@@ -84,44 +86,85 @@ def drawings(block_rows: DataFrame) -> DataFrame:
 
 
 def results(docs: DataFrame) -> DataFrame:
-    """Four models' results for each document: complete, short, long, and failed."""
+    """Four models' results for each document: the text alone, its lines dealt to all headers, the text twice under one, and failed."""
     t = F.col("text")
-    strong = F.concat_ws("\n", *(F.concat(F.lit(f"{head}\n- "), F.substring(t, 1 + 80 * k, 80)) for k, head in enumerate(HEADERS)))
+    lines = F.split(t, "\n", -1)
+
+    def dealt(k: int) -> Column:
+        return F.array_join(F.filter(lines, lambda x, i: i % len(HEADERS) == k), "\n- ")
+
+    strong = F.concat_ws("\n", *(F.concat(F.lit(f"{head}\n- "), dealt(k)) for k, head in enumerate(HEADERS)))
     long = F.concat(F.lit("## Limitations\n"), t, F.lit("\n"), t)
     row = lambda k, m, s, x: F.struct(F.lit(k).alias("input_ord"), F.lit(m).alias("model"), F.lit(s).alias("status"), x.alias("text"))
-    rows = F.array(
-        row(0, "gemini:weak", "OK", F.substring(t, 1, 120)), row(1, "openai:strong", "OK", strong), row(2, "deepseek:long", "OK", long), row(3, "openai:bad", "ERROR", F.lit(None).cast("string"))
-    )
+    rows = F.array(row(0, "gemini:weak", "OK", t), row(1, "openai:strong", "OK", strong), row(2, "deepseek:long", "OK", long), row(3, "openai:bad", "ERROR", F.lit(None).cast("string")))
     return docs.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
+def flat(c: Column) -> Column:
+    """A text on one line."""
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
+def plain(c: Column) -> Column:
+    """A text's ASCII letters and digits, other characters as one blank."""
+    return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]+", " "))
+
+
+def chunk_tag(salt: str) -> Column:
+    """A chunk id that differs from document to document."""
+    return F.substring(F.sha2(F.concat(F.lit(salt), F.col("doc_id").cast("string")), 256), 1, 12)
+
+
 def summary_replies(docs: DataFrame) -> DataFrame:
-    """Cited summaries: known, other, repeated and unknown headers; bullets with two tags, a capital tag, and none."""
-    t = F.col("text")
+    """Cited summaries of whole texts: known, other, repeated and unknown headers; bullets with two tags, a capital tag, and none."""
+    t = flat(F.col("text"))
     text = F.concat(
-        F.lit("intro\n## One-Liner\n- "), F.substring(t, 1, 30), F.lit("\nmore\n## Problem & Method\n- "), F.substring(t, 1, 40),
-        F.lit(" [chunk_id: aaaabbbbcccc] [CHUNK_ID: 00112233aabb].\n- \n* no bullet\n- [chunk_id: aaaabbbbcccc]\n## Unknown\n- x\n## Limitations\n- first\n"
-              "## Experiments and Results\n  - "), F.substring(t, 41, 30), F.lit(", \n## limitations\n- last [chunk_id:  0123456789ab] ;\n"),
+        F.lit("intro\n## One-Liner\n- "), t, F.lit("\nmore\n## Problem & Method\n- "), t,
+        F.lit(" [chunk_id: "), chunk_tag("a"), F.lit("] [CHUNK_ID: 00112233aabb].\n- \n* no bullet\n- [chunk_id: aaaabbbbcccc]\n## Unknown\n- x\n## Limitations\n- first\n"
+              "## Experiments and Results\n  - "), F.reverse(t), F.lit(", \n## limitations\n- last [chunk_id:  "), chunk_tag("b"), F.lit("] ;\n"),
     )
     return docs.select("doc_id", F.lit("openai:strong").alias("model"), text.alias("text"))
 
 
+def number(k: int) -> Column:
+    """A grade from 0 to 4.75, by the document's id and length."""
+    n = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    return F.concat(F.pmod(n + k * F.col("doc_id"), F.lit(5)).cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("0", "25", "5", "75"))), (F.pmod(F.col("doc_id") + k, F.lit(4)) + 1).cast("int")))
+
+
+def word(k: int) -> Column:
+    """One of the document's words, by its length."""
+    words = F.split("plain", " ")
+    return F.get(words, F.pmod(F.char_length(F.coalesce("text", F.lit(""))) * k, F.size(words)))
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with each <name> replaced."""
+    return F.concat(*(values[x[1:-1]] if x[:1] == "<" else F.lit(x) for x in re.split("(<[a-z0-9]+>)", template) if x))
+
+
 SKETCH_REPLY = (
-    '{"section_summaries": [{"section_id": "s2", "one_liner": "second"}, {"section_id": "s999", "one_liner": "none"}, {"section_id": "s1"}], '
-    '"figure_summaries": [{"label": "Figure 6", "caption_summary": "six"}, {"label": "Table 5", "caption_summary": "five"}, {"label": "Figure 9", "caption_summary": "nine"}], '
-    '"key_terms": [{"term": " the "}, {"term": "zzzz"}, {"term": ""}, {"term": "DE"}]}'
+    '{"section_summaries": [{"section_id": "s<section>", "one_liner": "<text>"}, {"section_id": "s999", "one_liner": "none"}, {"section_id": "s1"}], '
+    '"figure_summaries": [{"label": "Figure <figure>", "caption_summary": "<word1>"}, {"label": "Table <table>", "caption_summary": "five"}, {"label": "Figure 6", "caption_summary": "<word2>"}], '
+    '"key_terms": [{"term": " <word3> "}, {"term": "zzzz"}, {"term": ""}, {"term": "<word7>"}]}'
 )
 JUDGE_REPLY = (
-    '{"scores": [{"model": "openai:strong", "factuality": 4, "coverage": 4.5, "clarity": 5, "usefulness": 4, "overall": 4.25, "reason": " fine "}, '
-    '{"model": "gemini:weak", "factuality": 2, "overall": 4.25}, {"model": " ", "overall": 5}, {"model": "deepseek:long", "overall": 4.5, "reason": "long"}, '
+    '{"scores": [{"model": "openai:strong", "factuality": <number1>, "coverage": <number2>, "clarity": 5, "usefulness": <number3>, "overall": <number4>, "reason": " <text> "}, '
+    '{"model": "gemini:weak", "factuality": <number5>, "overall": <number6>}, {"model": " ", "overall": 5}, {"model": "deepseek:long", "overall": <number7>, "reason": "<word1>"}, '
     '{"model": "openai:strong", "overall": 2, "reason": "again"}]}'
 )
 
 
 def json_replies(docs: DataFrame, reply: str, broken: str) -> DataFrame:
-    """The reply plain, fenced (even documents), or broken (every seventh)."""
-    text = F.when(F.col("doc_id") % 7 == 0, broken).when(F.col("doc_id") % 2 == 0, f"Here it is:\n```json\n{reply}\n```\ndone").otherwise(reply)
-    return docs.select("doc_id", F.lit("openai:strong").alias("model"), text.alias("text"))
+    """The reply, filled in from each document, plain, fenced (even documents), or broken (every seventh)."""
+    docs = docs.select("doc_id", "text", F.explode(F.array(plain(F.col("text")))).alias("plain"))  # rows of their own: made once, not for each use
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    values = {"text": F.col("plain"), "section": F.pmod(n, F.lit(7)).cast("string"), "figure": F.pmod(n, F.lit(13)).cast("string"), "table": F.pmod(n, F.lit(11)).cast("string")}
+    values |= {f"number{k}": number(k) for k in range(1, 8)} | {f"word{k}": word(k) for k in range(1, 8)}
+    whole = _filled(reply, values)
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\ndone"))
+    text = F.when(F.col("doc_id") % 7 == 0, _filled(broken, values)).when(F.col("doc_id") % 2 == 0, fenced).otherwise(whole)
+    return docs.select("doc_id", F.lit("openai:strong").alias("model"), F.explode(F.array(text)).alias("text"))
 
 
 def sketch_replies(docs: DataFrame) -> DataFrame:
@@ -129,4 +172,4 @@ def sketch_replies(docs: DataFrame) -> DataFrame:
 
 
 def judge_replies(docs: DataFrame) -> DataFrame:
-    return json_replies(docs, JUDGE_REPLY, JUDGE_REPLY.replace("4.25,", '"four",', 1))
+    return json_replies(docs, JUDGE_REPLY, JUDGE_REPLY.replace("<number4>", '"four"', 1))

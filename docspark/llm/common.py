@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,24 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import textcore
+from docspark.sources.cache import shared_dir
 from docspark.sources.tables import spread, table
 
 __all__ = ["arrow_map", "bounded_batches", "crc_of_id", "new_path", "shared_dir", "small", "spread", "table", "with_statistics", "written"]
 
-#: Most rows that a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        of = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if of.isDefined():
-            return of.get().rstrip("/")
-        found = tempfile.mkdtemp(prefix="docspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Most rows, and bytes by Spark's statistics, that a side may have to be broadcast; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -71,10 +59,14 @@ def load_file(path: str) -> bytes:
         return f.read()
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is, so that the join shuffles."""
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows and ``most`` bytes, else as it is, so that the join shuffles.
+
+    Give it a written table: its rows are counted, and for a written table Spark knows the bytes.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n <= limit and size <= most else df
 
 
 #: Rows of an Arrow batch: a batch of texts is held on both sides, for every task of an executor.
@@ -82,7 +74,7 @@ BATCH_ROWS = 1_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Ask for smaller Arrow batches, unless the session names a size of its own."""
+    """Ask the session for smaller Arrow batches, unless it names a size other than Spark's own; the setting stays, as plans run later."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))

@@ -43,8 +43,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
-    return packing.pack(docs, with_ids=False)
+    """Pieces of packed sequences, with their token ids."""
+    return packing.pack(docs)
 
 
 STAGES = [("quality", quality), ("near_dup", deduplicate), ("decontaminate", decontaminated), ("pii", private), ("packing", packed)]

@@ -28,6 +28,11 @@ def block_text(lines: Column) -> Column:
     return strip(F.array_join(F.transform(lines, lambda spans: F.array_join(F.transform(spans, lambda s: s["text"]), "")), "\n"))
 
 
+def layout_text(lines: Column) -> Column:
+    """All spans joined without newlines, stripped: the text by which a layout region is judged."""
+    return strip(F.array_join(F.transform(F.flatten(lines), lambda s: s["text"]), ""))
+
+
 def median_size(size: Column) -> Column:
     """Median of positive sizes on the page; 10 where there are none."""
     return F.coalesce(F.median(F.when(size > 0, size)).over(Window.partitionBy("doc_id", "page")), F.lit(10.0))

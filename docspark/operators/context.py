@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.text import language, strip
 
+# Fixed value: the mark of a cut context.
 TRUNCATED = "\n... (content truncated for length) ...\n"
 
 
@@ -98,6 +99,7 @@ def figure_markdown(regions: DataFrame, most: int = 6) -> DataFrame:
     return f.select("doc_id", F.array_join(lines, "\n").alias("figures"))
 
 
+# The headers that summaries must have.
 HEADERS = ("## Research Background", "## Research Methodology", "## Experimental Results", "## Main Contributions", "## Limitations", "## Future Work")
 ORDERS = (
     "Write in {language}, in markdown only, under these headers and no others:\n" + "\n".join(HEADERS) + "\n"

@@ -40,33 +40,46 @@ class Offline:
         return Reply(text, n, m, n + m)
 
 
+SYSTEM = "You summarise academic papers: brief, well structured, in markdown."
+
+
+def _key(name: str) -> str:
+    import os
+
+    key = os.environ.get(name)
+    if not key:
+        raise RuntimeError(f"{name} is not set")
+    return key
+
+
 class _Chat:
-    """A chat service with the interface of the openai package; imported and connected where it is used."""
+    """A chat service with the interface of the openai package; imported and connected where it is used.
 
-    def __init__(self, key: str, base_url: str | None = None) -> None:
+    ``address`` names the environment variable that may replace ``base_url``; ``strip`` takes blanks off replies.
+    """
+
+    def __init__(self, key: str, base_url: str | None = None, address: str | None = None, strip: bool = False, timeout: float = 120.0, retries: int = 2) -> None:
         import os
 
+        secret = _key(key)  # a missing key shows as such, whether or not the package is there
         from openai import OpenAI
 
-        if not os.environ.get(key):
-            raise RuntimeError(f"{key} is not set")
-        self.client = OpenAI(api_key=os.environ[key], base_url=base_url)
+        url = (address and os.environ.get(address)) or base_url
+        self.client, self.strip = OpenAI(api_key=secret, base_url=url, timeout=timeout, max_retries=retries), strip
 
     def summarize(self, prompt: str, model: str) -> Reply:
-        got = self.client.chat.completions.create(model=model, messages=[{"role": "user", "content": prompt}], temperature=0.2)
-        use = got.usage
-        return Reply(got.choices[0].message.content or "", use and use.prompt_tokens, use and use.completion_tokens, use and use.total_tokens)
+        talk = [{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}]
+        got = self.client.chat.completions.create(model=model, messages=talk, temperature=0.2)
+        use, text = got.usage, got.choices[0].message.content or ""
+        return Reply(text.strip() if self.strip else text, use and use.prompt_tokens, use and use.completion_tokens, use and use.total_tokens)
 
 
 class _Gemini:
     def __init__(self) -> None:
-        import os
-
+        secret = _key("GEMINI_API_KEY")
         from google import genai
 
-        if not os.environ.get("GEMINI_API_KEY"):
-            raise RuntimeError("GEMINI_API_KEY is not set")
-        self.client = genai.Client(api_key=os.environ["GEMINI_API_KEY"])
+        self.client = genai.Client(api_key=secret)
 
     def summarize(self, prompt: str, model: str) -> Reply:
         got = self.client.models.generate_content(model=model, contents=prompt)
@@ -76,7 +89,7 @@ class _Gemini:
 
 FACTORIES: dict[str, Callable[[], Client]] = {
     "openai": lambda: _Chat("OPENAI_API_KEY"),
-    "deepseek": lambda: _Chat("DEEPSEEK_API_KEY", "https://api.deepseek.com"),
+    "deepseek": lambda: _Chat("DEEPSEEK_API_KEY", "https://api.deepseek.com/v1", "DEEPSEEK_BASE_URL", strip=True),
     "gemini": _Gemini,
 }
 OFFLINE: dict[str, Callable[[], Client]] = dict.fromkeys(PROVIDERS, Offline)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docspark.operators import blocks as B
 from docspark.operators import chunking, context, evaluation, figures, models, sections
 from docspark.operators.reading_order import reading_order
+from docspark.sources import papers
 from docspark.sources.cache import kept
 
 Factories = dict[str, Callable[[], models.Client]] | None
@@ -139,3 +140,11 @@ class Corpus:
         df = self.documents.join(pages, "doc_id", "left").join(used, "doc_id", "left").join(figs, "doc_id", "left")
         zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("pages_extracted", "chars_used", "n_figure_urls")}
         return df.withColumns({**zero, "figure_pages": F.coalesce("figure_pages", F.lit(""))})
+
+
+def corpus_of_papers(paper_rows: DataFrame, extractor: papers.Extractor = papers.pymupdf_extractor, max_pages: int = 30, **options: object) -> Corpus:
+    """The corpus of PDF files (doc_id, pdf_sha256, content); files are read once.  Unreadable ones have no blocks, see ``papers.extract_errors``."""
+    raw = kept(papers.extract(paper_rows, extractor, max_pages), "extracted")
+    place = (F.col(k) for k in ("pdf_sha256", "page", "x0", "y0", "x1", "y1"))
+    blocks = papers.raw_blocks(raw, max_pages).withColumn("block_id", B.block_id(*place))
+    return Corpus(blocks, papers.raster_rects(raw), papers.drawing_rects(raw), **options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+# The models asked where none are named.
 DEFAULT_MODELS = ("openai:gpt-4o-mini", "gemini:gemini-3-flash-preview", "deepseek:deepseek-chat")
 
 

@@ -18,14 +18,27 @@ def document_stream(spark: SparkSession, path: str, files_per_batch: int = 100)
     return stream.withColumn("pdf_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
+def _members(store: ResultStore) -> str:
+    return store.path.replace("params_hash=", "members_of=")
+
+
+def members(store: ResultStore) -> DataFrame:
+    """doc_id and pdf_sha256 of every document that came in: joins a result to all documents with its text."""
+    return store.spark.read.schema("doc_id long, pdf_sha256 string").parquet(_members(store)).select("doc_id", "pdf_sha256")
+
+
 def ingest(stream: DataFrame, store: ResultStore, plan: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Run ``plan`` (documents to results with pdf_sha256) on what has no result yet; a batch that is run again adds nothing.
 
-    The plan needs whole documents only, so no state is kept between batches but the store itself.
+    Documents with one text get one result, made for the least doc_id of the first batch that holds it; ``members`` names them all.  The
+    plan needs whole documents only, so no state is kept between batches but the store itself.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        new = store.missing(df.dropDuplicates(["pdf_sha256"]))
+    def batch(df: DataFrame, number: int) -> None:
+        df.select("doc_id", "pdf_sha256").write.mode("overwrite").parquet(f"{_members(store)}/batch={number}")
+        row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *(c for c in df.columns if c not in ("doc_id", "pdf_sha256")))
+        least = df.groupBy("pdf_sha256").agg(F.min(row).alias("d")).select("d.*", "pdf_sha256").drop("last")
+        new = store.missing(least)
         store.save(plan(new))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

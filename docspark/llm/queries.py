@@ -45,7 +45,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

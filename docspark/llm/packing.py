@@ -24,6 +24,7 @@ from docspark.llm.placing import placed
 from docspark.llm.tokens import Vocabulary, byte_bpe_50k, encode
 
 SIZE = 1024
+PIECES = 1024  # in a batch of results: a few MB
 DIMS, BITS, WIDTH = 4, 15, 64
 _rng = np.random.default_rng(11)
 _PROJECTION = _rng.standard_normal((WIDTH, DIMS))
@@ -95,6 +96,10 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: Vocabulary | None = None
     fields = [(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")]
     wide = vocabulary_width(vocabulary)
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*out, strict=True) if out else [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -107,8 +112,10 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: Vocabulary | None = None
                     piece = view[4 * at : 4 * (at + take)]
                     out.append((doc, at, take, zlib.crc32(piece), n, (first + at) // size, (first + at) % size, *([bytes(piece)] * with_ids)))
                     at += take
-            cols = zip(*out, strict=True) if out else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
+                    if len(out) == PIECES:
+                        yield made(out)
+                        out = []
+            yield made(out)
 
     return tokens.select("row", "doc_id", "ids").mapInArrow(cut, schema)
 

@@ -69,6 +69,39 @@ def test_classifier_query(spark, tmp_path):
     assert sum(r.predicted == int(r.doc_id % 4 in (0, 3)) for r in held) >= 0.97 * len(held)
 
 
+def plain_score(text, model):
+    """A score by loops over characters and words, from the model's tables alone."""
+    import bisect
+    import math
+
+    text = text or ""
+    ws, marks = WORD.findall(text), set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    n_words, word_chars, n_symbols, n_dup, n_repeat, _ = base(text)
+    small, large = set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    counts = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
+        "n_chars": len(text), "n_lines": sum(1 for x in text.split("\n") if WORD.search(x)),
+        "n_digits": sum(c in "0123456789" for c in text), "n_punctuation": sum(c in marks for c in text),
+        "n_letters": sum(c in small or c in large or ord(c) > 127 for c in text),
+        "n_distinct_words": len(set(ws)), "n_same_words": sum(a == b for a, b in zip(ws, ws[1:], strict=False)),
+        "n_marked_words": sum(w[-1] in marks and w[-1] not in ".," for w in ws),
+        "n_upper_words": sum(bool(set(w) & large) and not set(w) & small for w in ws),
+    }
+    x = [counts[a] / max(counts[b], 1) if b else math.log1p(counts[a]) for a, b in quality_rules.RATIOS.values()]
+    z = model.base + sum(float(t[bisect.bisect_left(list(e), v)]) for t, e, v in zip(model.tables, model.edges, x, strict=True))
+    cell = lambda j: bisect.bisect_left(list(model.coarse[j]), x[j])
+    return 1 / (1 + math.exp(-z - sum(float(t[cell(a), cell(b)]) for (a, b), t in model.pairs.items())))
+
+
+def test_classifier_query_equals_plain_scores(spark, tmp_path):
+    rows, labels = corpus()
+    rows += [(600, "Aé ÉA AB ab. AB, AB! x_ 12 #a"), (601, "same same SAME same\n\n1")]
+    folder = tables(spark, tmp_path, rows, labels)
+    model = quality_gam.fit_quality(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")))
+    got = sorted((str(r.doc_id), round(r.score, 9)) for r in queries.op4_quality_classifier(spark, folder).collect())
+    assert model.pairs and got == sorted((str(i), round(plain_score(t, model), 9)) for i, t in rows)
+
+
 def test_held_out_labels_are_not_learned(spark, tmp_path):
     rows, labels = corpus()
     first = queries.op4_quality_classifier(spark, tables(spark, tmp_path / "a", rows, labels)).collect()

@@ -160,6 +160,14 @@ def test_overall_score_is_rounded_as_in_its_sql(spark):
     assert got == {"below": 64.3, "up": 1.8, "tie": 64.2}  # 64.3499.., 1.7499.. (a tie in 15 decimals), 64.25
 
 
+def test_ranking_goes_by_totals_rounded_as_in_its_sql(spark):
+    k = spark.createDataFrame([(1, 1, "alpha")], "doc_id long, rank int, keyword string")
+    none = spark.createDataFrame([], "doc_id long, kind string, crop_url string")
+    df = spark.createDataFrame([(1, i, f"m{n}", "OK", "alpha".ljust(n, ".")) for i, n in enumerate((287, 288))], RESULT)
+    got = evaluation.ranking(evaluation.heuristic(df, k, none)).orderBy("rank").collect()
+    assert [(r.model, r.overall_score) for r in got] == [("m288", 64.4), ("m287", 64.3)]
+
+
 def test_model_errors_stay_in_their_rows(spark):
     p = spark.createDataFrame([(1, "One two three. Four five six.")], "doc_id long, prompt string")
     got = {r.model: r for r in models.compare(p, ["openai:a", "openai:fail", "x:y"], models.OFFLINE).collect()}

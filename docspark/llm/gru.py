@@ -2,6 +2,9 @@
 
 Token ids are 0 .. CLASSES * PER_CLASS - 1; a token's class is its id // PER_CLASS.  P(token) = P(class | state) * P(token | class, state).
 Inputs enter by table look-up, as an embedding times the input weights of all three gates is itself a table.
+
+The recurrence works on arrays with a row for each unit and a column for each stream, so that no operation runs along the few units
+alone; the softmax works on a row for each place.
 """
 
 from __future__ import annotations
@@ -17,22 +20,41 @@ WINDOW, STREAMS = 16, 256
 F32 = np.float32
 
 
+#: Logits up to this size are exponentiated as they are; beyond it each row's greatest is taken off first.
+SAFE = 60
+_ONES = np.ones(max(CLASSES, PER_CLASS), F32)
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray | float, np.ndarray]:
+    """Exponentiate in place; returns what was taken off each row, and the sums of the rows."""
+    top: np.ndarray | float = 0.0
+    if x.size and max(float(x.max()), -float(x.min())) > SAFE:
+        top = x.max(1)
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return top, x @ _ONES[: x.shape[1]]
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Natural log of the sum of exponentials of each row; ``x`` is used up."""
-    top = x.max(1)
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return top + np.log(x.sum(1))
+    top, total = _exponentials(x)
+    return top + np.log(total)
 
 
 def _to_errors(x: np.ndarray, rows: np.ndarray, target: np.ndarray) -> float:
-    """Turn logits into probabilities less the targets, in place; returns the sum of the targets' log probabilities."""
-    x -= x.max(1)[:, None]
-    np.exp(x, out=x)
-    x /= x.sum(1)[:, None]
-    total = float(np.log(np.maximum(x[rows, target], 1e-30)).sum())
-    x[rows, target] -= 1
-    return total
+    """Turn logits into probabilities less the targets, divided by the rows, in place; returns the sum of the targets' log probabilities."""
+    _, total = _exponentials(x)
+    flat, at = x.reshape(-1), rows * x.shape[1] + target
+    logs = float(np.log(np.maximum(flat[at] / total, 1e-30)).sum())
+    share = F32(1 / max(len(x), 1))
+    x *= (share / total)[:, None]
+    flat[at] -= share
+    return logs
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """A copy with the last two axes exchanged."""
+    return np.ascontiguousarray(x.swapaxes(-1, -2))
 
 
 class Gru:
@@ -59,14 +81,30 @@ class Gru:
         return m
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """New state, and the gates that backpropagation needs."""
-        a = h @ self.u
-        g = np.tanh(0.5 * (x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]))
+        """New state, and the gates that backpropagation needs; a row for each stream."""
+        new, *gates = self._step(_turned(x), _turned(h))
+        return new.T, *(k.T for k in gates)
+
+    def _step(self, x: np.ndarray, h: np.ndarray, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with a column for each stream; ``x`` is used up, the new state is written to ``new`` if given."""
+        a = self.u.T @ h
+        g, n, last = x[: 2 * HIDDEN], x[2 * HIDDEN :], a[2 * HIDDEN :]
+        g += a[: 2 * HIDDEN]
+        g *= F32(0.5)
+        np.tanh(g, out=g)
         g *= F32(0.5)
         g += F32(0.5)
-        z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, a[:, 2 * HIDDEN :]
+        z, r = g[:HIDDEN], g[HIDDEN:]
+        n += r * last
+        np.tanh(n, out=n)
+        new = np.subtract(h, n, out=new)
+        new *= z
+        new += n
+        return new, z, r, n, last
+
+    def _inputs(self, tokens: np.ndarray) -> np.ndarray:
+        """Inputs of tokens (.., stream), as (.., unit, stream)."""
+        return _turned(np.take(self.x, tokens, axis=0, mode="clip"))
 
     def log_likelihood(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target, given states (rows)."""
@@ -75,20 +113,21 @@ class Gru:
         cls = target // PER_CLASS
         rows = np.arange(len(h))
         out = c[rows, cls] - _log_sum(c)
-        order, ends, o = self._within(h, cls)
+        order, _, _, o = self._within(h, cls)
         out[order] += o[rows, target[order] % PER_CLASS] - _log_sum(o)
         return out
 
-    def _within(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows by class, where each class ends among them, and their logits within the class."""
+    def _within(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]], np.ndarray, np.ndarray]:
+        """Rows by class, each class among them with its rows, their states with a column of ones, and their logits within the class."""
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        sorted_h, o = h[order], np.empty((len(h), PER_CLASS), F32)
-        for k in np.flatnonzero(np.diff(ends)):
-            at = slice(ends[k], ends[k + 1])
-            np.matmul(sorted_h[at], self.ow[k].T, out=o[at])
-            o[at] += self.ob[k]
-        return order, ends, o
+        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        mine = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+        sorted_h, o = np.ones((len(h), HIDDEN + 1), F32), np.empty((len(h), PER_CLASS), F32)
+        sorted_h[:, :HIDDEN] = np.take(h, order, axis=0, mode="clip")
+        weights = np.concatenate((self.ow.swapaxes(1, 2), self.ob[:, None]), axis=1)
+        for k, at in mine:
+            np.matmul(sorted_h[at], weights[k], out=o[at])
+        return order, mine, sorted_h, o
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[Gru, np.ndarray, float]:
         """Mean gradient of the negative log-likelihood over a window (time by stream), last state, mean loss.
@@ -97,15 +136,14 @@ class Gru:
         """
         steps, b = inputs.shape
         g = Gru(np.zeros(self.SIZE, F32))
-        before, states = np.empty((steps, b, HIDDEN), F32), np.empty((steps, b, HIDDEN), F32)
-        kept = []
+        before, states = np.empty((steps, HIDDEN, b), F32), np.empty((steps, HIDDEN, b), F32)
+        x, on = self._inputs(inputs), (~fresh).astype(F32)
+        now, kept = h.T, []
         for t in range(steps):
-            before[t] = h
-            before[t][fresh[t]] = 0
-            h, *gates = self.step(self.x[inputs[t]], before[t])
+            np.multiply(now, on[t], out=before[t])
+            now, *gates = self._step(x[t], before[t], states[t])
             kept.append(gates)
-            states[t] = h
-        flat, target = states.reshape(-1, HIDDEN), targets.ravel()
+        flat, target = _turned(states).reshape(-1, HIDDEN), targets.ravel()
         if real is not None:
             rows = np.flatnonzero(real)
             flat, target = flat[rows], target[rows]
@@ -114,43 +152,52 @@ class Gru:
         c = flat @ self.cw
         c += self.cb
         loss = -_to_errors(c, here, cls)
-        c /= F32(n)
-        g.cw[:], g.cb[:] = flat.T @ c, c.sum(0)
+        g.cw[:] = np.matmul(states, c.reshape(steps, b, CLASSES)).sum(0) if real is None else flat.T @ c
+        g.cb[:] = np.ones(n, F32) @ c
         d = c @ self.cw.T
-        order, ends, o = self._within(flat, cls)
+        order, mine, by_class, o = self._within(flat, cls)
         loss -= _to_errors(o, here, target[order] % PER_CLASS)
-        o /= F32(n)
-        by_class, back = flat[order], np.empty((n, HIDDEN), F32)
-        for k in np.flatnonzero(np.diff(ends)):
-            at = slice(ends[k], ends[k + 1])
-            g.ow[k], g.ob[k] = o[at].T @ by_class[at], o[at].sum(0)
+        back = np.empty((n, HIDDEN), F32)
+        for k, at in mine:
+            w = o[at].T @ by_class[at]
+            g.ow[k], g.ob[k] = w[:, :HIDDEN], w[:, HIDDEN]
             np.matmul(o[at], self.ow[k], out=back[at])
-        d[order] += back
-        if real is None:
-            dh = d.reshape(steps, b, HIDDEN)
-        else:
+        place = np.empty(n, np.int64)
+        place[order] = here
+        d += np.take(back, place, axis=0, mode="clip")
+        if real is not None:
             dh = np.zeros((steps * b, HIDDEN), F32)
             dh[rows] = d
-            dh = dh.reshape(steps, b, HIDDEN)
-        carry = np.zeros((b, HIDDEN), F32)
-        dx, da = np.empty((steps, b, 3 * HIDDEN), F32), np.empty((steps, b, 3 * HIDDEN), F32)
+            d = dh
+        dh = _turned(d.reshape(steps, b, HIDDEN))
+        carry = np.zeros((HIDDEN, b), F32)
+        dx, da = np.empty((steps, 3 * HIDDEN, b), F32), np.empty((steps, 3 * HIDDEN, b), F32)
         for t in range(steps - 1, -1, -1):
             z, r, new, a = kept[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            dx[t, :, :HIDDEN] = d * (before[t] - new) * z * (1 - z)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :] = dn
-            da[t] = dx[t]
-            da[t, :, 2 * HIDDEN :] *= r
-            carry = d * z + da[t] @ self.u.T
-            carry[fresh[t]] = 0
-        g.u[:] = before.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+            dz, dr, dn = dx[t, :HIDDEN], dx[t, HIDDEN : 2 * HIDDEN], dx[t, 2 * HIDDEN :]
+            carry += dh[t]
+            part = carry * z
+            carry -= part  # the new value's share
+            np.subtract(before[t], new, out=dz)
+            dz *= z
+            dz *= carry
+            np.multiply(new, new, out=dn)
+            np.subtract(F32(1), dn, out=dn)
+            dn *= carry
+            last = np.multiply(dn, r, out=da[t, 2 * HIDDEN :])
+            np.subtract(F32(1), r, out=dr)
+            dr *= last
+            dr *= a
+            da[t, : 2 * HIDDEN] = dx[t, : 2 * HIDDEN]
+            carry = self.u @ da[t]
+            carry += part
+            carry *= on[t]
+        g.u[:] = np.matmul(before, da.swapaxes(1, 2)).sum(0)
         token = inputs.ravel()
         order = np.argsort(token.astype(np.int16), kind="stable")
         at = np.flatnonzero(np.diff(token[order], prepend=-1))
-        g.x[token[order][at]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], at, axis=0)
-        return g, h, loss / n
+        g.x[token[order][at]] = np.add.reduceat(np.take(_turned(dx).reshape(-1, 3 * HIDDEN), order, axis=0, mode="clip"), at, axis=0)
+        return g, now.T, loss / n
 
     def train(self, ids: np.ndarray, end: int, streams: int = STREAMS, window: int = WINDOW, rate: float = 0.02) -> float:
         """One pass over documents laid end to end (each closed by ``end``), by Adam on windows; returns the last mean loss.
@@ -200,7 +247,7 @@ class Gru:
     def _side_by_side(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, end: int, window: int) -> np.ndarray:
         """Scores of documents that are ordered by falling length."""
         out = np.zeros(len(length))
-        h = np.zeros((len(length), HIDDEN), F32)
+        h = np.zeros((HIDDEN, len(length)), F32)
         previous = np.full(len(length), end)
         a = 0
         while a < length[0]:
@@ -209,9 +256,9 @@ class Gru:
             states, targets, owners = [], [], []
             for t in range(a, stop):
                 alive = int(np.searchsorted(-length, -t, side="left"))  # documents with more than t tokens
-                h = self.step(self.x[previous[:alive]], h[:alive])[0]
+                h = self._step(self._inputs(previous[:alive]), h[:, :alive])[0]
                 previous = ids[begin[:alive] + t].astype(np.int64)
-                states.append(h)
+                states.append(h.T)
                 targets.append(previous)
                 owners.append(alive)
             who = np.concatenate([np.arange(k) for k in owners])
